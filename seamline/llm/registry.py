@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from seamline.llm.jaccard import op10_jaccard_join
 from seamline.llm.mixing import op2_entropy_mix
 from seamline.llm.sharding import op1_minimax_shards
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_entropy_mix)}
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_entropy_mix, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
