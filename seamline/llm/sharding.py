@@ -148,26 +148,26 @@ def shard_rows(df: DataFrame, group: Column, size: Column, shards: int = 40) ->
 
     Rows with equal ``group`` (null being one value) share a shard; the largest shard is as small as
     contiguous hash order allows. Two groups whose 64-bit hashes collide stay together. Slots follow a
-    deal of the rows by ``hash of all columns``, so that no task numbers a whole shard or group;
-    repeated rows get slots next to each other in any order. An empty ``df`` stays empty. ``df`` should be narrow:
-    it is materialised once and shuffled once.
+    deal of the rows by a hash of their columns, so that no task numbers a whole shard or group;
+    repeated rows get slots next to each other in any order. An empty ``df`` stays empty. Columns of ``df``
+    that have the name of one made here (shard, slot, group_hash, _size, deal, rank, offset) are replaced
+    or go. ``df`` should be narrow: it is materialised once and shuffled once.
     """
-    clash = {"group_hash", "deal", "shard", "slot", "offset"} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"shard_rows makes columns of these names: {sorted(clash)}")
-    named = list(df.columns)
-    base = durable(df.select("*", F.xxhash64(group).alias("group_hash"), size.cast("long").alias("_size")))
+    own = {"group_hash", "_size", "deal", "rank", "shard", "slot", "offset"}
+    named = [c for c in df.columns if c.lower() not in own]
+    plain = [c for c, kind in df.dtypes if c in named and not kind.startswith("map")]
+    base = durable(df.select(*named, F.xxhash64(group).alias("group_hash"), size.cast("long").alias("_size")))
     capacity, bounds = minimax_bounds(base.select("group_hash", F.col("_size").alias("size")), shards)
     shard = F.lit(0)
     for b in bounds:
         shard = shard + (F.col("group_hash") > b).cast("int")
     deals = max(16, -(-base.count() // (shards * ROWS_PER_DEAL)))
-    spread = F.xxhash64("group_hash", *[c for c, kind in df.dtypes if not kind.startswith("map")])
+    spread = F.xxhash64("group_hash", *plain)
     dealt = base.select(*named, "group_hash", shard.alias("shard"), F.pmod(spread, F.lit(deals)).alias("deal"))
     counts = dealt.groupBy("shard", "deal").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("shard", "deal").orderBy("group_hash", *[c for c, kind in df.dtypes if not kind.startswith("map")])
+    order = Window.partitionBy("shard", "deal").orderBy("group_hash", *plain)
     return (
         dealt.withColumn("rank", F.row_number().over(order))
         .join(starts, ["shard", "deal"])
