@@ -22,7 +22,9 @@ from seamline.llm.texts import as_bytes, map_texts
 
 BUCKETS = 65_536
 TRUSTED_DOCS = 20_000
-THRESHOLD = -0.1
+THRESHOLD = -0.08
+#: N-grams of the expected share that every bucket of both multinomials has on top of its count.
+PRIOR = 20
 KNOWN_WORDS = 300_000
 SYMBOLS = b"#*$%&|<>"
 NOT_COUNTED = bytes(range(0x80, 0xC0)) + b" \t\n\x0b\x0c\r"
@@ -101,17 +103,18 @@ def count_grams(df: DataFrame, text: str, trusted: str, buckets: int = BUCKETS)
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log p(trusted) - log p(corpus) of every bucket, each count one up; all 0 without trusted text.
+    """log p(trusted) - log p(corpus) of every bucket; all 0 without trusted text.
 
-    The driver holds ``buckets`` rows.
+    Corpus counts are scaled to the trusted total, and both get the same prior, so that a bucket that is
+    rare in the trusted sample says little. The driver holds ``buckets`` rows.
     """
     table = np.zeros((2, buckets))
     for r in counts.collect():
         table[:, r.bucket] = r.corpus, r.trusted
     if not table[1].sum():
         return np.zeros(buckets)
-    logs = np.log(table + 1) - np.log(table.sum(1, keepdims=True) + buckets)
-    return logs[1] - logs[0]
+    expected = table[0] * (table[1].sum() / table[0].sum())
+    return np.log(table[1] + PRIOR) - np.log(expected + PRIOR)
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
