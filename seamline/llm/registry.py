@@ -5,12 +5,13 @@ from __future__ import annotations
 from seamline.llm.jaccard import op10_jaccard_join
 from seamline.llm.media import op6_iso_media
 from seamline.llm.mixing import op2_entropy_mix
+from seamline.llm.pii import op9_pii
 from seamline.llm.quality import op4_quality_rules
 from seamline.llm.secrets import op5_secret_scan
 from seamline.llm.sharding import op1_minimax_shards
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minimax_shards, op2_entropy_mix, op4_quality_rules, op5_secret_scan, op6_iso_media, op10_jaccard_join)
+    for f in (op1_minimax_shards, op2_entropy_mix, op4_quality_rules, op5_secret_scan, op6_iso_media, op9_pii, op10_jaccard_join)
 }
 ORACLE_SQL: dict[str, str] = {}
