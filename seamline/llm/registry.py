@@ -3,15 +3,30 @@
 from __future__ import annotations
 
 from seamline.llm.jaccard import op10_jaccard_join
+from seamline.llm.licenses import SQL as LICENSE_SQL
+from seamline.llm.licenses import op8_license_scan
 from seamline.llm.media import op6_iso_media
 from seamline.llm.mixing import op2_entropy_mix
+from seamline.llm.pieces import op3_piece_nbest
 from seamline.llm.pii import op9_pii
 from seamline.llm.quality import op4_quality_rules
+from seamline.llm.quotes import op7_quote_links
 from seamline.llm.secrets import op5_secret_scan
 from seamline.llm.sharding import op1_minimax_shards
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minimax_shards, op2_entropy_mix, op4_quality_rules, op5_secret_scan, op6_iso_media, op9_pii, op10_jaccard_join)
+    for f in (
+        op1_minimax_shards,
+        op2_entropy_mix,
+        op3_piece_nbest,
+        op4_quality_rules,
+        op5_secret_scan,
+        op6_iso_media,
+        op7_quote_links,
+        op8_license_scan,
+        op9_pii,
+        op10_jaccard_join,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_license_scan": LICENSE_SQL}
