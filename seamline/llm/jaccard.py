@@ -320,6 +320,22 @@ def jaccard_components(df: DataFrame, key: str, text: str, words: int = 5, perce
     return linked.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def keep_one(df: DataFrame, key: str, text: str, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` less all but one of each component: that with the least key stays.
+
+    Rows that share their key (or have none) are told apart by text; one of each text stays.
+    """
+    found = jaccard_components(df, key, text, words, percent)
+    least = found.groupBy(F.col(key).alias("k")).agg(F.min("component_id").alias("c"), F.count("*").alias("m"))
+    marks = durable(least.where("c <> k or m > 1 or k is null").select("k", F.coalesce(F.col("c") != F.col("k"), F.lit(False)).alias("goes")))
+    rows = df.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    few = marks.count() <= BROADCAST_ROWS
+    marked = rows.join(F.broadcast(marks) if few else marks, F.col("key").eqNullSafe(F.col("k")), "left")
+    single = marked.where("goes is null").select("row")
+    repeated = marked.where("goes = false").withColumn("digest", F.sha2("text", 256)).dropDuplicates(["key", "digest"]).select("row")
+    return single.unionByName(repeated).select("row.*")
+
+
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents linked at a Jaccard similarity of 0.9 over 3-word shingles."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamline.llm.ranking import number_rows
 from seamline.llm.words import word_count
 from seamline.session import durable
 
@@ -25,7 +26,9 @@ SHARE = 1.5
 MOST = 2.0
 STEPS = 40
 FINISH = 4
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 500
+#: Classes of (source, size) that are sent to every executor; beyond that, rows and classes are shuffled.
+BROADCAST_ROWS = 300_000
 
 
 def targets(sources: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -107,7 +110,7 @@ def whole_copies(classes: DataFrame, goals: DataFrame, lams: DataFrame) -> DataF
         .when(full, F.lit(MOST))
         .otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("x"), F.lit(1.0))), F.lit(MOST)))
     )
-    c = classes.join(goals.select("source_no", "target", "source_size"), "source_no").join(lams, "source_no")
+    c = classes.drop("source").join(goals.select("source_no", "target", "source_size"), "source_no").join(lams, "source_no")
     c = c.withColumn("rate", rate).withColumn("base", F.floor("rate"))
     run = Window.partitionBy("source_no").orderBy(F.col("size").desc())
     upto = F.floor(F.sum((F.col("rate") - F.col("base")) * F.col("n")).over(run.rowsBetween(Window.unboundedPreceding, 0)) + 0.5)
@@ -126,49 +129,44 @@ def whole_copies(classes: DataFrame, goals: DataFrame, lams: DataFrame) -> DataF
     return durable(c.select("source_no", "size", "n", "base", "extra"))
 
 
-def mix(docs: DataFrame, key: str, source: Column, size: Column, share: float = SHARE) -> DataFrame:
-    """key, source, size, source_size, target, copies (0, 1 or 2 of each document).
+def mix(rows: DataFrame, key: str, source: Column, size: Column, share: float = SHARE) -> DataFrame:
+    """``row`` (a struct of all columns of ``rows``), source, size, source_size, target, copies (0, 1 or 2).
 
     Nulls in ``source`` are one source, the last; documents of size 0 count for nothing and are kept
-    once. Rows repeated with the same key are documents of their own. Two runs give the same rows.
+    once. Rows repeated with the same key are documents of their own. Two runs give the same rows. ``rows``
+    is read twice; of its columns only ``key``, ``source`` and ``size`` decide anything.
     """
-    rows = durable(docs.select(F.col(key), source.alias("source"), size.alias("size")))
-    hist = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
-    hist = durable(hist)
+    rows = rows.select(F.struct("*").alias("row"), source.alias("source"), size.alias("size"), F.col(key).alias("key"))
+    hist = durable(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     goals = durable(targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share))
     same = hist["source"].eqNullSafe(goals["source"])
-    classes = hist.join(goals.drop("target"), same).select("source_no", "size", "n", "source_size")
+    classes = hist.join(goals.drop("target"), same).select(hist["source"], "source_no", "size", "n", "source_size")
     mean = F.sum("n").over(Window.partitionBy("source_no"))
     x = F.when(F.col("source_size") > 0, F.col("size") * mean / F.col("source_size")).otherwise(0.0)
-    classes = durable(classes.select("source_no", "size", "n", x.alias("x")))
+    classes = durable(classes.select("source", "source_no", "size", "n", x.alias("x")))
     copies = whole_copies(classes, goals, solve(classes, goals))
+    named = classes.select("source_no", "source").distinct().join(goals.select("source_no", "source_size", "target"), "source_no")
+    copies = durable(copies.join(named, "source_no").withColumnsRenamed({"source": "s", "size": "z"}))
 
-    numbered = rows.join(goals, rows["source"].eqNullSafe(goals["source"])).drop(goals["source"]).join(copies, ["source_no", "size"])
-    digest = F.xxhash64(key, "size", "source_no")
-    buckets = F.ceil(F.col("n") / ROWS_PER_BUCKET)
-    numbered = numbered.withColumn("digest", digest).withColumn("bucket", F.pmod("digest", buckets))
+    few = copies.count() <= BROADCAST_ROWS
+    same = F.col("source").eqNullSafe(F.col("s")) & F.col("size").eqNullSafe(F.col("z"))
+    placed = rows.join(F.broadcast(copies) if few else copies, same).drop("s", "z")
+    out = ["row", "source", "size", "source_size", "target"]
     fixed = (F.col("extra") == 0) | (F.col("extra") == F.col("n"))
-    out = [key, "source", "size", "source_size", "target"]
-    sure = numbered.where(fixed).select(*out, (F.col("base") + (F.col("extra") > 0).cast("long")).alias("copies"))
-    open_ = numbered.where(~fixed)
-    spot = ["source_no", "size", "bucket"]
-    before = Window.partitionBy("source_no", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = open_.groupBy(spot).agg(F.count("*").alias("m"))
-    starts = starts.select(*spot, F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy(*spot).orderBy("digest", key))
-    drawn = (
-        open_.withColumn("rank", rank)
-        .join(starts, spot)
-        .select(*out, (F.col("base") + (F.col("start") + F.col("rank") <= F.col("extra")).cast("long")).alias("copies"))
-    )
+    sure = placed.where(fixed).select(*out, (F.col("base") + (F.col("extra") > 0).cast("long")).alias("copies"))
+    open_ = placed.where(~fixed).withColumn("digest", F.xxhash64("key", "size", "source_no"))
+    open_ = open_.withColumn("bucket", F.pmod("digest", F.ceil(F.col("n") / ROWS_PER_BUCKET)))
+    drawn = number_rows(open_, ["source_no", "size"], "bucket", ["digest", "key"], "rank")
+    drawn = drawn.select(*out, (F.col("base") + (F.col("rank") <= F.col("extra")).cast("long")).alias("copies"))
     return sure.unionByName(drawn)
 
 
 def op2_entropy_mix(spark, sf_dir: str) -> DataFrame:
     """All documents, with the words of each that the mix takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    mixed = mix(docs, "doc_id", F.col("source"), word_count(F.col("text")))
+    counted = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")))
+    mixed = mix(counted, "doc_id", F.col("source"), F.col("words"))
     return mixed.select(
-        "doc_id", "size", "source_size", F.col("target").cast("double").alias("target"),
+        F.col("row.doc_id").alias("doc_id"), "size", "source_size", F.col("target").cast("double").alias("target"),
         (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "source",
     )

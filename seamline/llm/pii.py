@@ -162,15 +162,15 @@ def find_spans(df: DataFrame, text: str, into: str = "pii") -> DataFrame:
     return out.withColumn(into, F.array_sort(F.concat(*lists))).drop(*plain)
 
 
-def redact(text: Column) -> Column:
-    """The text with every confirmed match replaced by its kind's tag, kind by kind.
+def redact(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with every confirmed match in ``text`` replaced by its kind's tag, kind by kind.
 
     Account numbers go before cards, phones and addresses, which could match parts of them; each kind
-    is looked for in what the kinds before it left. Kinds that context has to confirm stay.
+    is looked for in what the kinds before it left. Kinds that context has to confirm stay. Null stays null.
     """
     for name in ("email", "iban", "card", "phone", "ip"):
-        text = replace_matches(next(k for k in KINDS if k.name == name), text)
-    return text
+        df = df.withColumn(text, replace_matches(next(k for k in KINDS if k.name == name), F.col(text)))
+    return df
 
 
 def replace_matches(kind: Kind, text: Column) -> Column:
@@ -178,7 +178,8 @@ def replace_matches(kind: Kind, text: Column) -> Column:
     put = F.transform(found, lambda m: F.when(confirmed(kind, m), F.lit(kind.tag)).otherwise(m))
     pieces = F.split(text, kind.pattern, -1)
     joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(put, i), F.lit("")))), "")
-    return F.when(text.rlike(kind.pattern), joined).otherwise(text)
+    some = text.rlike(kind.pattern) if kind.hint is None else F.contains(text, F.lit(kind.hint))
+    return F.when(some, joined).otherwise(text)
 
 
 def digest(spans: Column) -> Column:

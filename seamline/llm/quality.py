@@ -10,13 +10,12 @@ gives the same verdicts.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seamline.llm.texts import as_bytes, map_texts
 
@@ -130,29 +129,38 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return log_ratios(count_grams(marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")), "text", "trusted", buckets), buckets)
 
 
-def judge(df: DataFrame, text: str, ratios: np.ndarray, keep: list[str] | None = None, only_kept: bool = False, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns of ``df`` with base counts, score and verdict; a column of the same name is replaced.
+def verdicts(ratios: np.ndarray, threshold: float = THRESHOLD):
+    """A function of a text's bytes: base counts, whether they fail, score, verdict."""
+    buckets, hashes = len(ratios), WordHashes()
+
+    def of(t: bytes | None) -> tuple:
+        t = t or b""
+        words = t.split()
+        w = _hashed(words, hashes)
+        counts = base_counts(t, words, w)
+        failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+        score = float(ratios[_grams(w, buckets)].mean()) if words else 0.0
+        return (*counts, failed, score, not failed and score >= threshold)
+
+    return of
+
 
-    Null and empty texts count 0 of everything, score 0 and fail. With ``only_kept``, rejected rows go.
+def judge(df: DataFrame, text: str, ratios: np.ndarray, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """``keep`` (all columns by default) with base counts, score and verdict; columns of the same name are replaced.
+
+    Null and empty texts count 0 of everything, score 0 and fail.
     """
-    buckets = len(ratios)
+    return map_texts(df, text, FIELDS, lambda: verdicts(ratios, threshold), keep)
 
-    def make():
-        hashes = WordHashes()
 
-        def of(t: bytes | None):
-            t = t or b""
-            words = t.split()
-            w = _hashed(words, hashes)
-            counts = base_counts(t, words, w)
-            failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-            score = float(ratios[_grams(w, buckets)].mean()) if words else 0.0
-            kept = not failed and score >= threshold and math.isfinite(score)
-            return None if only_kept and not kept else (*counts, failed, score, kept)
+def keep_good(df: DataFrame, text: str, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` that are kept, as they were."""
 
-        return of
+    def make():
+        of = verdicts(ratios, threshold)
+        return lambda t: () if of(t)[-1] else None
 
-    return map_texts(df, text, FIELDS, make, keep)
+    return map_texts(df, text, StructType([]), make)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -17,9 +17,10 @@ from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seamline.llm.ranking import number_rows
 from seamline.session import durable
 
 FIRST_SHIFT = 52
@@ -150,10 +151,10 @@ def shard_rows(df: DataFrame, group: Column, size: Column, shards: int = 40) ->
     contiguous hash order allows. Two groups whose 64-bit hashes collide stay together. Slots follow a
     deal of the rows by a hash of their columns, so that no task numbers a whole shard or group;
     repeated rows get slots next to each other in any order. An empty ``df`` stays empty. Columns of ``df``
-    that have the name of one made here (shard, slot, group_hash, _size, deal, rank, offset) are replaced
+    that have the name of one made here (shard, slot, group_hash, _size, deal) are replaced
     or go. ``df`` should be narrow: it is materialised once and shuffled once.
     """
-    own = {"group_hash", "_size", "deal", "rank", "shard", "slot", "offset"}
+    own = {"group_hash", "_size", "deal", "shard", "slot"}
     named = [c for c in df.columns if c.lower() not in own]
     plain = [c for c, kind in df.dtypes if c in named and not kind.startswith("map")]
     base = durable(df.select(*named, F.xxhash64(group).alias("group_hash"), size.cast("long").alias("_size")))
@@ -164,15 +165,8 @@ def shard_rows(df: DataFrame, group: Column, size: Column, shards: int = 40) ->
     deals = max(16, -(-base.count() // (shards * ROWS_PER_DEAL)))
     spread = F.xxhash64("group_hash", *plain)
     dealt = base.select(*named, "group_hash", shard.alias("shard"), F.pmod(spread, F.lit(deals)).alias("deal"))
-    counts = dealt.groupBy("shard", "deal").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("shard", "deal").orderBy("group_hash", *plain)
-    return (
-        dealt.withColumn("rank", F.row_number().over(order))
-        .join(starts, ["shard", "deal"])
-        .select(*named, "shard", (F.col("offset") + F.col("rank") - 1).alias("slot"))
-    )
+    numbered = number_rows(dealt, ["shard"], "deal", ["group_hash", *plain], "slot")
+    return numbered.select(*named, "shard", (F.col("slot") - 1).alias("slot"))
 
 
 def op1_minimax_shards(spark, sf_dir: str) -> DataFrame:
