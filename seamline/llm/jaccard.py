@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from seamline.llm.texts import WordHashes, word_hashes
 from seamline.session import durable
 
-#: Distinct words a worker remembers, shingles it merges at a time, and documents among them.
-KNOWN_WORDS = 300_000
-BLOCK_SHINGLES = 2_000_000
+#: Shingles a worker merges at a time, and documents among them.
+BLOCK_SHINGLES = 1_000_000
 BLOCK_DOCS = 60_000
 CHARS_PER_BUCKET = 24_000_000
 BROADCAST_ROWS = 300_000
@@ -42,16 +42,6 @@ SKETCH_BITS = 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's ``words``-word shingles (A-Z lower-cased).
 
@@ -80,7 +70,7 @@ def _multiplier(k: int) -> np.uint64:
 
 
 def _sets(batches, words: int):
-    hashes = WordHashes()
+    hashes = word_hashes()
     for batch in batches:
         keys = batch.column(0)
         for key, text in zip(keys, batch.column(1), strict=True):
@@ -168,22 +158,25 @@ _SINGLES = pa.schema([("member", pa.int64()), ("singles", pa.int64())])
 
 def _count_singles(table: pa.Table) -> pa.Table:
     """Per member: how many of its shingles in this bucket no other member has."""
-    lows, names = [], []
+    known = np.unique(np.concatenate([np.frombuffer(m.as_py(), np.int64) for m in table["member"]]))
+    several = np.uint64(2**32 - 1)
+    keys = np.empty(sum(len(x.as_py()) for x in table["owner"]) // 2, np.uint64)
+    at = 0
     for low, owner, member in zip(table["low"], table["owner"], table["member"], strict=True):
         own = np.frombuffer(owner.as_py(), np.uint16)
-        known = np.frombuffer(member.as_py(), np.int64)
-        name = np.zeros(len(own), np.int64)
+        part = keys[at : at + len(own)]
+        part[:] = several
         alone = own != SEVERAL
-        name[alone] = known[own[alone]]
-        lows.append(np.frombuffer(low.as_py(), np.uint32))
-        names.append(name)
-    low, name = np.concatenate(lows), np.concatenate(names)
-    order = np.argsort(low)
-    low, name = low[order], name[order]
-    starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-    least, most = np.minimum.reduceat(name, starts), np.maximum.reduceat(name, starts)
-    found, count = np.unique(least[(least == most) & (least != 0)], return_counts=True)
-    return pa.table([pa.array(found), pa.array(count.astype(np.int64))], schema=_SINGLES)
+        part[alone] = np.searchsorted(known, np.frombuffer(member.as_py(), np.int64))[own[alone]]
+        part |= np.frombuffer(low.as_py(), np.uint32).astype(np.uint64) << np.uint64(32)
+        at += len(own)
+    keys.sort()
+    starts = np.flatnonzero(np.concatenate(([True], (keys[1:] >> np.uint64(32)) != (keys[:-1] >> np.uint64(32)))))
+    ends = np.append(starts[1:], len(keys)) - 1
+    once = keys[starts][keys[starts] == keys[ends]] & several
+    count = np.bincount(once[once != several].astype(np.int64), minlength=len(known))
+    some = count > 0
+    return pa.table([pa.array(known[some]), pa.array(count[some].astype(np.int64))], schema=_SINGLES)
 
 
 def _open_sets(words: int):

@@ -12,19 +12,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from seamline.llm.texts import as_bytes, map_texts
+from seamline.llm.texts import WordHashes, as_bytes, map_texts, word_hashes
 
 BUCKETS = 65_536
 TRUSTED_DOCS = 20_000
 THRESHOLD = -0.08
 #: N-grams of the expected share that every bucket of both multinomials has on top of its count.
 PRIOR = 20
-KNOWN_WORDS = 300_000
 SYMBOLS = b"#*$%&|<>"
 NOT_COUNTED = bytes(range(0x80, 0xC0)) + b" \t\n\x0b\x0c\r"
 FIELDS = (
@@ -33,16 +31,6 @@ FIELDS = (
 )
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def _hashed(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
@@ -85,7 +73,7 @@ def count_grams(df: DataFrame, text: str, trusted: str, buckets: int = BUCKETS)
     schema = pa.schema([("bucket", pa.int32()), ("corpus", pa.int64()), ("trusted", pa.int64())])
 
     def run(batches):
-        hashes, counts = WordHashes(), np.zeros((2, buckets), np.int64)
+        hashes, counts = word_hashes(), np.zeros((2, buckets), np.int64)
         for batch in batches:
             for t, good in zip(as_bytes(batch.column(0)), batch.column(1), strict=True):
                 words = (t.as_py() or b"").split()
@@ -131,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def verdicts(ratios: np.ndarray, threshold: float = THRESHOLD):
     """A function of a text's bytes: base counts, whether they fail, score, verdict."""
-    buckets, hashes = len(ratios), WordHashes()
+    buckets, hashes = len(ratios), word_hashes()
 
     def of(t: bytes | None) -> tuple:
         t = t or b""

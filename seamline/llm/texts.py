@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -13,6 +14,33 @@ from pyspark.sql.types import StructType
 ROWS_AT_A_TIME = 128
 
 
+#: Distinct words whose hashes a worker remembers.
+KNOWN_WORDS = 100_000
+_held: dict = {}
+
+
+def worker_memory(key: tuple, build: Callable[[], object]) -> object:
+    """What ``build`` made, kept by this worker process from task to task until another key is asked for."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def word_hashes() -> WordHashes:
+    return worker_memory(("words",), WordHashes)
+
+
 def as_bytes(column: pa.Array) -> pa.Array:
     """A string column as its UTF-8 bytes."""
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
