@@ -33,7 +33,7 @@ def rows_of_first_keys(df: DataFrame, key: str, order: str, count: int) -> DataF
 
 def cap_per_group(df: DataFrame, group: list[str], order: list, most: int, name: str = "rank") -> DataFrame:
     """At most ``most`` rows a group in ``order``, with their rank. Spark keeps ``most`` a task before shuffling."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")
     return df.withColumn(name, rank).where(F.col(name) <= most)
 
 
@@ -46,7 +46,7 @@ def round_robin(df: DataFrame, strata: list[str], order: str, count: int) -> Dat
     turns = cap_per_group(df, strata, [order], count, "turn")
     same = [turns[s].eqNullSafe(seen[s]) for s in strata]
     picked = turns.join(seen, same).select(turns["*"], "stratum_order").orderBy("turn", "stratum_order", order).limit(count)
-    place = F.row_number().over(Window.orderBy("turn", "stratum_order", order))
+    place = F.row_number().over(Window.orderBy("turn", "stratum_order", order)).cast("long")
     return picked.withColumn("position", place).drop("turn", "stratum_order")
 
 
