@@ -134,7 +134,7 @@ def reasoning_clauses(c: Column) -> Column:
         def one(p: Column) -> Column:
             found = stripped_parts(F.split(p, rx(pattern), -1))
             later = F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))
-            return F.when((F.size(found) > 1) & F.exists(later, is_reasoning_step), found).otherwise(F.array(p))
+            return F.when((F.size(found) > 1) & F.exists(later, lambda p: is_reasoning_step(p)), found).otherwise(F.array(p))
 
         return F.flatten(F.transform(parts, one))
 

@@ -19,7 +19,7 @@ WRAPPERS = ("data", "rows", "items", "train", "valid", "test")
 MODES = {"raise": "FAILFAST", "skip": "DROPMALFORMED", "keep": "PERMISSIVE"}
 
 
-def jsonl(spark: SparkSession, path: str, schema: StructType | None = None, bad: str = "raise", glob: str | None = None, recursive: bool = False) -> DataFrame:
+def jsonl(spark: SparkSession, path: str, schema: StructType | str | None = None, bad: str = "raise", glob: str | None = None, recursive: bool = False) -> DataFrame:
     """JSON lines, plain or compressed; blank lines are skipped. ``bad``: raise, skip or keep (in ``_corrupt_record``)."""
     reader = spark.read.option("mode", MODES[bad]).option("recursiveFileLookup", recursive)
     if glob:
@@ -40,8 +40,9 @@ def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> D
     return files.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("line", "value")).withColumn("line", F.col("line") + 1)
 
 
-def strict_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def strict_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines whose first bad line is an error that names file and line; no rows are an error too."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     rows = numbered_lines(spark, path).where(F.col("value").rlike(r"\S"))
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     sound = F.col("value").rlike(r"(?s)\A\s*\{") & F.try_parse_json("value").isNotNull()
@@ -52,8 +53,9 @@ def strict_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return rows.select("file", "line", "r.*")
 
 
-def records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Records of Parquet, JSON lines, a JSON array, or JSON objects that hold arrays under known keys."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     if path.endswith((".jsonl", ".jsonl.gz")):
@@ -83,7 +85,7 @@ def segmented(spark: SparkSession, path: str) -> DataFrame:
 
 def code_corpus(spark: SparkSession, path: str, schema: str = "code STRING, original_string STRING, docstring STRING, repo STRING, path STRING, func_name STRING") -> DataFrame:
     """Code rows with ``split`` and ``language`` taken from the file's path (…/language/…/split/…)."""
-    df = jsonl(spark, path, StructType.fromDDL(schema), "skip", "*.jsonl*", True).withColumn("file", F.input_file_name())
+    df = jsonl(spark, path, schema, "skip", "*.jsonl*", True).withColumn("file", F.input_file_name())
     split = F.regexp_extract("file", r"/(train|valid|test)[/_.]", 1)
     language = F.regexp_extract("file", r"/(python|java|javascript|php|ruby|go)/", 1)
     code = F.coalesce(F.nullif(F.col("code"), F.lit("")), "original_string")
