@@ -316,16 +316,19 @@ def jaccard_components(df: DataFrame, key: str, text: str, words: int = 5, perce
 def keep_one(df: DataFrame, key: str, text: str, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` less all but one of each component: that with the least key stays.
 
-    Rows that share their key (or have none) are told apart by text; one of each text stays.
+    Rows are told apart by key and text; of rows with both equal, one stays. Rows without key stand
+    after all others.
     """
-    found = jaccard_components(df, key, text, words, percent)
-    least = found.groupBy(F.col(key).alias("k")).agg(F.min("component_id").alias("c"), F.count("*").alias("m"))
-    marks = durable(least.where("c <> k or m > 1 or k is null").select("k", F.coalesce(F.col("c") != F.col("k"), F.lit(False)).alias("goes")))
-    rows = df.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    own = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"))
+    rows = df.select(F.struct("*").alias("row"), own.alias("own"), F.col(text).alias("text"))
+    found = jaccard_components(rows, "own", "text", words, percent)
+    least = found.groupBy("own").agg(F.min("component_id").alias("first"), F.count("*").alias("m"))
+    marks = least.where("first <> own or m > 1").select(F.col("own").alias("marked"), (F.col("first") != F.col("own")).alias("goes"))
+    marks = durable(marks)
     few = marks.count() <= BROADCAST_ROWS
-    marked = rows.join(F.broadcast(marks) if few else marks, F.col("key").eqNullSafe(F.col("k")), "left")
+    marked = rows.join(F.broadcast(marks) if few else marks, F.col("own") == F.col("marked"), "left")
     single = marked.where("goes is null").select("row")
-    repeated = marked.where("goes = false").withColumn("digest", F.sha2("text", 256)).dropDuplicates(["key", "digest"]).select("row")
+    repeated = marked.where("goes = false").dropDuplicates(["own"]).select("row")
     return single.unionByName(repeated).select("row.*")
 
 

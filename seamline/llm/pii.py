@@ -13,10 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seamline.functions.arrays import running_sums
+
 #: Characters before and after a span, up to the next span of the kind, in which context words count.
 CONTEXT = 40
 KEEP_SCORE = 0.5
-SUM_BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -46,27 +47,6 @@ CONTEXT_STEP = 0.2
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
-def running_sums(a: Column) -> Column:
-    """Inclusive sums of an array of numbers, by blocks, so that long arrays stay near linear."""
-    size = F.size(a)
-    blocks = F.sequence(F.lit(0), F.ceil(size / SUM_BLOCK).cast("int") - 1)
-
-    def block(b: Column) -> Column:
-        return F.slice(a, b * SUM_BLOCK + 1, F.lit(SUM_BLOCK))
-
-    totals = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda s, x: s + x))
-    starts = F.aggregate(
-        totals, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))
-    )
-    within = F.transform(
-        blocks,
-        lambda b: F.transform(
-            block(b), lambda _, i: F.get(starts, b) + F.aggregate(F.slice(a, b * SUM_BLOCK + 1, i + 1), F.lit(0), lambda s, x: s + x)
-        ),
-    )
-    return F.when(size > 0, F.flatten(within)).otherwise(F.array().cast("array<int>"))
-
-
 def digits_of(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -156,7 +136,7 @@ def find_spans(df: DataFrame, text: str, into: str = "pii") -> DataFrame:
         out = out.withColumn(own(k, "steps"), steps_to(F.col(own(k, "matches")), F.col(own(k, "pieces"))))
     for k in KINDS:
         steps = F.col(own(k, "steps"))
-        out = out.withColumn(own(k, "starts"), F.when(F.size(steps) > 0, running_sums(steps)).otherwise(none))
+        out = out.withColumn(own(k, "starts"), F.when(F.size(steps) > 0, running_sums(steps, "int")).otherwise(none))
     lists = [spans_of(k, rank, *[F.col(own(k, x)) for x in ("pieces", "matches", "starts")]) for rank, k in enumerate(KINDS)]
     plain = [own(k, x) for k in KINDS for x in ("matches", "pieces", "steps", "starts")]
     return out.withColumn(into, F.array_sort(F.concat(*lists))).drop(*plain)

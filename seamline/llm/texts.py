@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +39,7 @@ class WordHashes(dict):
 
 
 def word_hashes() -> WordHashes:
+    gc.enable()  # another kernel may have stopped it in this worker
     return worker_memory(("words",), WordHashes)
 
 
