@@ -13,7 +13,7 @@ TOLERANCES = (0, 1, 2, 4, 8)
 def cut_offsets(text: Column, separator: str, before: bool = False) -> Column:
     """Offsets at which ``separator`` (one literal character) cuts a text, the end of the text not counted.
 
-    After the separator by default, before it with ``before``. Row-local: nothing is shuffled.
+    After the separator by default, before it with ``before``. A null text has no cuts. Row-local: nothing is shuffled.
     """
     lengths = F.transform(F.split(text, rf"\Q{separator}\E", -1), lambda p: F.length(p) + 1)
     sums = running_sums(let(lengths, lambda n: F.slice(n, F.lit(1), F.size(n) - 1)))
