@@ -138,3 +138,52 @@ def math_correct(gold: Column, prediction: Column) -> Column:
 
 def percent(c: Column) -> Column:
     return F.bround(c * 100, 2)
+
+
+#: What the canonical form of a LaTeX answer leaves out or rewrites, in order.
+LATEX_EDITS = (
+    ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""),
+    ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
+)
+LATEX_LATE_EDITS = (("\\%", ""), (" .", " 0."), ("{.", "{0."))
+
+
+def braced_fractions(c: Column) -> Column:
+    r"""``\frac12`` and ``\frac1{23}`` with braces around single characters."""
+    c = F.regexp_replace(c, r"\\frac([^{\\])([^{])", r"\\frac{$1}{$2}")
+    return F.regexp_replace(c, r"\\frac([^{\\])\{", r"\\frac{$1}{")
+
+
+def braced_roots(c: Column) -> Column:
+    return F.regexp_replace(c, r"\\sqrt([^{])", r"\\sqrt{$1}")
+
+
+def slash_fraction(c: Column) -> Column:
+    r"""``a/b`` of whole numbers without sign or leading zeros as ``\frac{a}{b}``."""
+    whole = r"(-?[1-9][0-9]*|0)"
+    return F.regexp_replace(c, rf"\A{whole}/{whole}\z", r"\\frac{$1}{$2}")
+
+
+def without_units(c: Column) -> Column:
+    r"""Cut at the one ``\text{ `` there is; texts with several stay."""
+    parts = F.split(c, r"\Q\text{ \E", -1)
+    return F.when(F.size(parts) == 2, F.get(parts, 0)).otherwise(c)
+
+
+def canonical_latex(c: Column) -> Column:
+    """Canonical form of a LaTeX answer, for equality as text."""
+    for old, new in LATEX_EDITS:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    c = without_units(c)
+    for old, new in LATEX_LATE_EDITS:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    c = F.regexp_replace(c, r"\A\.", "0.")
+    sides = F.split(c, "=", -1)
+    c = F.when((F.size(sides) == 2) & (F.length(F.get(sides, 0)) <= 2), F.get(sides, 1)).otherwise(c)
+    c = braced_fractions(F.replace(braced_roots(c), F.lit(" "), F.lit("")))
+    return slash_fraction(F.when(c == "0.5", "\\frac{1}{2}").otherwise(c))
+
+
+def same_latex(prediction: Column, target: Column) -> Column:
+    """Null-safe equality of canonical forms."""
+    return canonical_latex(prediction).eqNullSafe(canonical_latex(target))
