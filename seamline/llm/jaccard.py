@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from seamline.llm.texts import WordHashes, word_hashes
+from seamline.llm.texts import WordHashes, bound_batches, word_hashes
 from seamline.session import durable
 
 #: Shingles a worker merges at a time, and documents among them.
@@ -284,7 +284,7 @@ def jaccard_components(df: DataFrame, key: str, text: str, words: int = 5, perce
     each other. Rows with equal sets link. Null keys take part; a component's id is null only if all its
     keys are. Repeated rows stay. An empty ``df`` gives no rows.
     """
-    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    docs = bound_batches(df).select(F.col(key).alias("key"), F.col(text).alias("text"))
     key_type = docs.schema["key"].dataType.simpleString()
     arrow_key = to_arrow_type(docs.schema["key"].dataType)
     facts = durable(docs.mapInArrow(_facts(words, arrow_key), f"key {key_type}, n bigint, member bigint"))

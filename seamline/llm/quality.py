@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from seamline.llm.texts import WordHashes, as_bytes, map_texts, word_hashes
+from seamline.llm.texts import WordHashes, as_bytes, bound_batches, map_texts, word_hashes
 
 BUCKETS = 65_536
 TRUSTED_DOCS = 20_000
@@ -85,7 +85,7 @@ def count_grams(df: DataFrame, text: str, trusted: str, buckets: int = BUCKETS)
         some = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[0][some]), pa.array(counts[1][some])], schema=schema)
 
-    parts = df.select(text, trusted).mapInArrow(run, "bucket int, corpus bigint, trusted bigint")
+    parts = bound_batches(df).select(text, trusted).mapInArrow(run, "bucket int, corpus bigint, trusted bigint")
     return parts.groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted"))
 
 

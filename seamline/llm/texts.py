@@ -15,11 +15,23 @@ from pyspark.sql.types import StructType
 ROWS_AT_A_TIME = 128
 
 
+#: Rows of an Arrow batch. Spark's default holds ten times as many; batches of long texts are then what
+#: fills an executor's memory outside the heap.
+ROWS_PER_BATCH = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Distinct words whose hashes a worker remembers.
 KNOWN_WORDS = 100_000
 _held: dict = {}
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small enough for texts; a smaller setting is left."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= ROWS_PER_BATCH:
+        conf.set(BATCH_SETTING, str(ROWS_PER_BATCH))
+    return df
+
+
 def worker_memory(key: tuple, build: Callable[[], object]) -> object:
     """What ``build`` made, kept by this worker process from task to task until another key is asked for."""
     if key not in _held:
@@ -81,4 +93,4 @@ def map_texts(
                     old = [part.column(k).cast(arrow.field(k).type) for k in range(len(keep))]
                     yield pa.RecordBatch.from_arrays(old + new, schema=arrow)
 
-    return df.select(*keep, df[text].alias(column)).mapInArrow(run, schema)
+    return bound_batches(df).select(*keep, df[text].alias(column)).mapInArrow(run, schema)
