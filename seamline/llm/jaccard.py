@@ -9,8 +9,8 @@ reaches ``percent``. The join never meets all documents at once:
    all members are counted for this, each task first merging its own shingles, packed by hash bucket.
 3. For the members left, exact frequencies among them order every set, and each puts its prefix, with
    positions, under its n-grams. Members of one prefix n-gram are first compared with one of them, drawn
-   by hash per n-gram, so that a large group of near copies becomes one component in linear work. Then
-   every pair under a common prefix n-gram that is still in two components is compared.
+   by hash per n-gram, a few times, so that a large group of near copies becomes one component in linear
+   work. Then every pair under a common prefix n-gram that is still in two components is compared.
 4. A pair must pass the length filter, the positional filter and the suffix filter (a lower bound on the
    symmetric difference from 512-bit parity sketches) and is then verified once on the whole sets.
 
@@ -38,6 +38,8 @@ CHARS_PER_BUCKET = 24_000_000
 BROADCAST_ROWS = 300_000
 SEVERAL = 65_535
 SKETCH_BITS = 512
+#: Times that the members of a prefix n-gram are compared with one of them, drawn anew.
+STAR_ROUNDS = 3
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -257,22 +259,31 @@ def jaccard_links(sets: DataFrame, percent: int) -> DataFrame:
         enough = common * (100 + percent) >= (F.size("xs") + F.size("ys")) * percent
         return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
 
-    draw = F.xxhash64("gram", "member")
-    heads = prefix.groupBy("gram").agg(F.min_by(F.struct("member", "n", "pos"), draw).alias("head"), F.count("*").alias("m"))
-    heads = heads.where("m > 1").select("gram", "head.*")
-    stars = prefix.alias("x").join(heads.alias("y"), F.col("x.gram") == F.col("y.gram"))
-    stars = durable(sifted(ordered(stars.where((F.col("x.member") != F.col("y.member")) & possible("x", "y")))))
-    links = durable(verified(stars))
-    roots = durable(components(links))
-
-    joined = prefix.join(roots, prefix["member"] == roots["node"], "left")
-    joined = joined.select("member", "n", "gram", "pos", F.coalesce("root", "member").alias("root"))
-    torn = joined.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-    rest = durable(joined.join(torn, "gram").join(sketches.select("member", "sketch"), "member"))
+    def with_roots(roots: DataFrame) -> DataFrame:
+        joined = prefix.join(roots, prefix["member"] == roots["node"], "left")
+        return durable(joined.select("member", "n", "gram", "pos", F.coalesce("root", "member").alias("root")))
+
+    placed, tested, roots = prefix.withColumn("root", F.col("member")), None, None
+    for k in range(STAR_ROUNDS):
+        draw = F.xxhash64("gram", "member", F.lit(k))
+        heads = placed.groupBy("gram").agg(F.min_by(F.struct("member", "n", "pos", "root"), draw).alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        heads = heads.where("lo <> hi").select("gram", "head.*")
+        stars = placed.alias("x").join(heads.alias("y"), F.col("x.gram") == F.col("y.gram"))
+        stars = ordered(stars.where((F.col("x.root") != F.col("y.root")) & possible("x", "y")))
+        stars = durable(sifted(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti")))
+        tested = stars if tested is None else tested.unionByName(stars)
+        links = verified(stars)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(links)
+        placed = with_roots(roots)
+
+    torn = placed.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
+    rest = durable(placed.join(torn, "gram").join(sketches.select("member", "sketch"), "member"))
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.member") < F.col("y.member")) & (F.col("x.root") != F.col("y.root"))
     alike = near(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"))
-    late = ordered(x.join(y, apart & possible("x", "y") & alike)).join(stars, ["a", "b"], "left_anti")
+    late = ordered(x.join(y, apart & possible("x", "y") & alike)).join(tested, ["a", "b"], "left_anti")
     late = verified(durable(late))
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
 

@@ -58,6 +58,11 @@ def targets(sources: DataFrame, share: float = SHARE, weights: tuple[int, ...] =
     return s.select("source", "source_no", "source_size", share_of.alias("target"))
 
 
+def exact_sum(c: Column) -> Column:
+    """A sum that does not depend on the order of rows: terms to six decimals, added as decimals."""
+    return F.sum(c.cast("decimal(32,6)")).cast("double")
+
+
 def solve(classes: DataFrame, goals: DataFrame, steps: int = STEPS) -> DataFrame:
     """Newton iterations on the dual. ``classes``: source_no, size, n, x; returns source_no, lam.
 
@@ -83,8 +88,8 @@ def solve(classes: DataFrame, goals: DataFrame, steps: int = STEPS) -> DataFrame
             classes.join(state.where(~F.col("done")), "source_no")
             .groupBy("source_no")
             .agg(
-                F.sum(words * F.least(tilt, F.lit(MOST))).alias("f"),
-                F.sum(F.when(tilt < MOST, words * F.col("x") * tilt).otherwise(0.0)).alias("slope"),
+                exact_sum(words * F.least(tilt, F.lit(MOST))).alias("f"),
+                exact_sum(F.when(tilt < MOST, words * F.col("x") * tilt).otherwise(0.0)).alias("slope"),
             )
         )
         s = state.join(sums, "source_no", "left")
