@@ -39,7 +39,9 @@ BROADCAST_ROWS = 300_000
 SEVERAL = 65_535
 SKETCH_BITS = 512
 #: Times that the members of a prefix n-gram are compared with one of them, drawn anew.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Edges in a part of a graph that is walked again and again; small parts cost a file for every other part.
+ROWS_PER_PART = 50_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -204,6 +206,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``a``, ``b`` → ``node``, ``root`` (the least node reachable), by alternating large and small stars."""
     mark = None
     e = durable(edges.select("a", "b").where("a <> b").distinct())
+    e = e.coalesce(-(-e.count() // ROWS_PER_PART) or 1)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -218,6 +221,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
+        e = e.coalesce(-(-now[0] // ROWS_PER_PART) or 1)
 
 
 def jaccard_links(sets: DataFrame, percent: int) -> DataFrame:
