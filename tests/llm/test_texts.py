@@ -209,3 +209,27 @@ def test_licences(spark):
     assert [got[i].licenses for i in range(1, 8)] == ["", "", "MIT", "MIT", "Apache-2.0,Proprietary", "", ""]
     assert got[4].sentence_ids == "mit-name mit-grant mit-notice"
     assert licenses.scan_licenses(frame(spark, []), "doc_id", "text").count() == 0
+
+
+REFERENCES = {
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "This file is distributed under the GNU LGPL v2.1 or later.": "LGPL-2.1-or-later",
+    "The software is released under the terms of the GNU Affero General Public License, version 3.": "AGPL-3.0-only",
+    "This project is licensed under the ISC License!": "ISC",
+    "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+    "License: MIT": "MIT",
+    "# SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause",
+    "This library is made available under the Boost Software License 1.0.": "BSL-1.0",
+    "Distributed under the 3-clause BSD license.": "BSD-3-Clause",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+    "Released under the Apache 2.0 license": "Apache-2.0",
+    "We had mit and cc0 on the table.": "",
+    "The licence of art is licensed under nothing.": "",
+}
+
+
+def test_licence_references(spark):
+    rows = [(i, f"Some text before. {s}\nAnd after it.") for i, s in enumerate(REFERENCES)]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(frame(spark, rows), "doc_id", "text").collect()}
+    assert {s: got[i] for i, s in enumerate(REFERENCES)} == REFERENCES
