@@ -1,7 +1,7 @@
 """License scans by sentence rules (DataFrame operations only).
 
 A text is normalised and searched for known licence sentences, which stand between end marks and line
-ends; besides those of a table, "licensed under" and the like
+ends but may themselves be wrapped over lines; besides those of a table, "licensed under" and the like
 with any of the licences' names are known. The
 identifiers of those found, in order of the text, form a sequence; ordered rules are matched against it,
 longer ones first, and a rule uses up the identifiers it matches.
@@ -203,8 +203,10 @@ RULES = (
 #: Some word of every known sentence; texts without any are not cut.
 WORDS = "licen|copyright|permission|warrant|redistribut|liable|rights[^a-z0-9]+reserved|free[^a-z0-9]+(?:software|and)|under[^a-z0-9]|covered by|terms of|apache|bsd|gpl|cc0|mpl|epl|cddl|creative"
 NOT_WORD = "[^a-z0-9]+"
-#: Stands for an end mark with the blanks after it.
+#: Stands for an end mark with the blanks or the line end after it. A sentence runs over single line ends only.
 END = "\x01"
+#: Comment leaders that are words.
+LEADER = r"(?m)^[ \t]*(?:dnl|rem|REM)[ \t]"
 
 
 def one_of(sentences: Iterable[str]) -> str:
@@ -217,34 +219,34 @@ def one_of(sentences: Iterable[str]) -> str:
         node[""] = {}
 
     def pattern(node: dict) -> str:
-        """What may follow a word."""
+        """What may follow a word, gap included."""
         some = []
         for w, below in node.items():
             if w:
                 while len(below) == 1 and "" not in below:
                     ((following, below),) = below.items()
-                    w = f"{w} {following}"
+                    w = f"{w}[ \n]{following}"
                 some.append(w + pattern(below))
         if not some:
             return ""
         inner = some[0] if len(some) == 1 else f"(?:{'|'.join(some)})"
-        return f"(?: {inner}){'?' if '' in node else ''}"
+        return f"(?:[ \n]{inner}){'?' if '' in node else ''}"
 
-    return pattern(tree).removeprefix("(?: ").removesuffix(")")
+    return pattern(tree).removeprefix("(?:[ \n]").removesuffix(")")
 
 
 def known_pattern() -> str:
     """Every known sentence, between ends of lines or sentences. The names after "License:" may follow an end mark."""
-    after = f"(?:spdx license identifier)[ {END}](?:{one_of(BY_SPDX)})"
+    after = f"(?:spdx[ \n]license[ \n]identifier)[ {END}](?:{one_of(BY_SPDX)})"
     named = f"licen[sc]e{END}(?:{one_of(BY_NAME)})"
-    reference = f"(?:{one_of(LEADS)}) (?:{one_of(BY_NAME)})"
+    reference = f"(?:{one_of(LEADS)})[ \n](?:{one_of(BY_NAME)})"
     bound = rf"[^\n{END}]"
     return f"(?<!{bound})(?:{'|'.join((after, named, one_of(SENTENCES), reference, one_of(ALONE)))})(?!{bound})"
 
 
 def sentences(text: Column) -> Column:
-    """Known sentences of the text in order, words apart by one blank."""
-    marked = F.regexp_replace(F.translate(text, END, "-"), r"[.;:!?][ \t]+", END)
+    """Known sentences of the text in order, words apart by one blank; a hard-wrapped sentence is one sentence."""
+    marked = F.regexp_replace(F.regexp_replace(F.translate(text, END, "-"), LEADER, ""), r"[.;:!?](?:[ \t]+|[ \t\r]*\n)", END)
     words = F.regexp_replace(F.lower(marked), f"[^a-z0-9\n{END}]+", " ")
     words = F.regexp_replace(words, f" ?([\n{END}]) ?", "$1")
     words = F.regexp_replace(words, "^ | $", "")
@@ -257,7 +259,7 @@ def literal_map(values: dict[str, str]) -> Column:
 
 def identifier(sentence: Column) -> Column:
     """The identifier of a known sentence: its own, or that of the licence it names."""
-    name = F.regexp_replace(sentence, f"^(?:{one_of(LEADS)}) ".replace(" ", " "), "")
+    name = F.regexp_replace(sentence, f"^(?:{one_of(LEADS)}) ".replace("[ \n]", " "), "")
     spdx = F.when(F.startswith(sentence, F.lit(SPDX)), F.concat(F.try_element_at(literal_map(BY_SPDX), F.substr(sentence, F.lit(len(SPDX) + 1))), F.lit("-spdx")))
     return F.coalesce(
         F.try_element_at(literal_map(SENTENCES), sentence), spdx,

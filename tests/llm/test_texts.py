@@ -233,3 +233,63 @@ def test_licence_references(spark):
     rows = [(i, f"Some text before. {s}\nAnd after it.") for i, s in enumerate(REFERENCES)]
     got = {r.doc_id: r.licenses for r in licenses.scan_licenses(frame(spark, rows), "doc_id", "text").collect()}
     assert {s: got[i] for i, s in enumerate(REFERENCES)} == REFERENCES
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+}
+
+
+def test_wrapped_licences(spark):
+    leaders = ("", "# ", " * ", "// ", "dnl ")
+    rows = [(10 * i + k, "Title.\n\n" + "\n".join(leader + x for x in t.split("\n"))) for i, t in enumerate(WRAPPED.values()) for k, leader in enumerate(leaders)]
+    rows.append((99, WRAPPED["MIT"].replace("\n", "\r\n")))
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows), "doc_id", "text").collect()}
+    assert {i: r.licenses for i, r in got.items()} == {10 * i + k: n for i, n in enumerate(WRAPPED) for k in range(5)} | {99: "MIT"}
+    assert got[0].sentence_ids == "mit-grant mit-notice mit-warranty" and got[40].n_sentences == 6
