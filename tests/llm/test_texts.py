@@ -293,3 +293,24 @@ def test_wrapped_licences(spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows), "doc_id", "text").collect()}
     assert {i: r.licenses for i, r in got.items()} == {10 * i + k: n for i, n in enumerate(WRAPPED) for k in range(5)} | {99: "MIT"}
     assert got[0].sentence_ids == "mit-grant mit-notice mit-warranty" and got[40].n_sentences == 6
+
+
+def test_random_tokens_are_found(spark):
+    """Recall on planted tokens, one in ten of those tested being random, and no structured one among them."""
+    r = np.random.default_rng(11)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"hex": digits + "ABCDEF", "base32": upper + "234567", "base62": upper + upper.lower() + digits, "base64": upper + upper.lower() + digits + "+/"}
+    least = {("hex", 32): 0.9, ("hex", 40): 0.95, ("base32", 26): 0.8, ("base32", 32): 0.9, ("base62", 20): 0.75, ("base62", 24): 0.85, ("base62", 40): 0.95, ("base64", 24): 0.8}
+    words = "get set Order Total customer Name address Handler Factory of line Item 2024 07 parse Http Request v2 test Case user Id 1001 build Config".split()
+    rows, planted = [], {}
+    for k, (name, n) in enumerate(least):
+        for i in range(200):
+            planted[1000 * k + i] = name, n
+            rows.append((1000 * k + i, "".join(r.choice(list(alphabets[name]), n))))
+    for i in range(14_400):
+        joined = str(r.choice(["", "_", "-", "/"])).join(r.choice(words, 8))
+        rows.append((100_000 + i, joined.upper() if i % 4 == 0 else joined))
+    got = {x.doc_id: x.n_random for x in secrets.find_secrets(frame(spark, rows), "doc_id", "text").collect()}
+    share = {key: np.mean([got[i] for i, of in planted.items() if of == key]) for key in least}
+    assert all(share[key] >= bound for key, bound in least.items()), share
+    assert sum(n for i, n in got.items() if i >= 100_000) <= 0.01 * len(planted)
