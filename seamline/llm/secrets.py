@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on long tokens.
 
-A token is a run of at least 20 characters of ``[A-Za-z0-9+/_=-]`` that no base span touches. Its encoding
+A token is a run of at least 20 characters of ``[A-Za-z0-9+/_=-]``, or such a part of a run between "=" or
+other marks, that no base span touches. "=" stands at the end of a token only. Its encoding
 (hexadecimal, base 32, letters and digits, base 64) is inferred from its characters. The tests, over the
 encoding's alphabet:
 
@@ -34,6 +35,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Parts of a run: with their padding; and, of these, whole, between marks that no alphabet has both of, and between any.
+PADDED = re.compile(r"[^=]+=*")
+CUTS = (re.compile(r".+"), re.compile(r"[^/+]+"), re.compile(r"[^_-]+"), re.compile(r"[^/+_-]+"))
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
 
@@ -158,18 +162,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def tested(run: str, at: int, base: list[tuple[int, int, int]]) -> list[tuple[int, str, float]]:
+    """start, token, log10 of p of the candidates in a run of token characters that starts at ``at``.
+
+    "=" ends a token that it pads and parts others. What lies between is tested whole, and in parts between
+    marks; the parts are taken if one of them is less likely structured, or if the whole is in no alphabet.
+    As the likeliest of several is chosen, p is multiplied by their number.
+    """
+
+    def tests(cuts: re.Pattern, part: str, start: int) -> list[tuple[int, str, float]]:
+        found = []
+        for m in cuts.finditer(part):
+            s, e = start + m.start(), start + m.end()
+            if m.end() - m.start() >= STRATA[0] and not any(a < e and s < b for a, _, b in base):
+                p = battery(m[0])
+                if p is not None:
+                    found.append((s, m[0], p))
+        return found
+
+    out = []
+    for m in PADDED.finditer(run):
+        if len(m[0]) < STRATA[0]:
+            continue
+        ways = [w for cuts in CUTS if (w := tests(cuts, m[0], at + m.start()))]
+        ways = [w for k, w in enumerate(ways) if w not in ways[:k]]
+        if ways:
+            chosen, more = min(ways, key=lambda w: min(p for _, _, p in w)), math.log10(sum(map(len, ways)))
+            out += [(s, token, min(0.0, p + more)) for s, token, p in chosen]
+    return out
+
+
 def scan(data: bytes | None) -> tuple:
     text = (data or b"").decode("utf-8", "surrogatepass")
     base = base_spans(text)
     named = [(s, r, f"{KINDS[r]}:{s}:{e}") for s, r, e in base]
     tokens = []
     for m in TOKEN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        p = battery(m[0])
-        if p is not None:
-            stratum = stratum_of(m[0])
-            tokens.append((m.start(), 3, f"random:{m.start()}:{m.end()}", stratum, min(LAST_BIN, int(-p * BINS_PER_UNIT))))
+        for start, token, p in tested(m[0], m.start(), base):
+            end = start + len(token)
+            tokens.append((start, 3, f"random:{start}:{end}", stratum_of(token), min(LAST_BIN, int(-p * BINS_PER_UNIT))))
     kinds = [r for _, r, _ in base]
     digest = hashlib.sha256(",".join(x for _, _, x in named).encode()).hexdigest()
     as_rows = [dict(zip(("start", "rank", "span"), x, strict=True)) for x in named]

@@ -314,3 +314,15 @@ def test_random_tokens_are_found(spark):
     share = {key: np.mean([got[i] for i, of in planted.items() if of == key]) for key in least}
     assert all(share[key] >= bound for key, bound in least.items()), share
     assert sum(n for i, n in got.items() if i >= 100_000) <= 0.01 * len(planted)
+
+
+def test_tokens_glued_to_names(spark):
+    key, url = "kJ8x2Qw9ZpL4vT7mR1sB6nY3cF5hD0gAeUiKoXzW", "q7/Zk3RtY+8mNbV1xCw5LpA0sDfGh2JkE9uQiO6"
+    texts = [f"AUTH={key}", f"SESSION_ID={key}==;", f"see https://x.org/a?sig={url}= now", f"path/to_file-name/{key}", f"my_name-of_{url}", f"A={key}=B={key[::-1]}", f"home/some_user/dir-{key}"]
+    wanted = [[key], [key + "=="], [url + "="], [key], [url], [key + "=", key[::-1]], [key]]
+    rows = list(enumerate(texts)) + [(50 + i, "see path/to_some-long/directory_name/with=many-words_in/It1 here") for i in range(20)]
+    got = {r.doc_id: r for r in secrets.find_secrets(frame(spark, rows), "doc_id", "text").collect()}
+    for i, w in enumerate(wanted):
+        found = [texts[i][int(s) : int(e)] for _, s, e in (x.split(":") for x in got[i].spans.split(",") if x)]
+        assert found == w, (texts[i], found)
+    assert not any(got[50 + i].spans for i in range(20))
