@@ -142,15 +142,46 @@ def find_spans(df: DataFrame, text: str, into: str = "pii") -> DataFrame:
     return out.withColumn(into, F.array_sort(F.concat(*lists))).drop(*plain)
 
 
+#: The tag of overlapping spans is that of the first of these kinds.
+TAG_ORDER = ("email", "iban", "card", "phone", "ip", "ssn")
+
+
+def cut_spans(text: Column, spans: Column) -> Column:
+    """``text`` with every run of overlapping ``spans`` replaced by one tag."""
+    tags = F.array(*[F.lit(next(k.tag for k in KINDS if k.name == n)) for n in TAG_ORDER])
+    order = F.array(*[F.lit(n) for n in TAG_ORDER])
+    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("end"), F.lit(0).alias("tag"))
+
+    def tag(state: Column) -> Column:
+        return F.coalesce(F.get(tags, state["tag"] - 1), F.lit(""))
+
+    def step(state: Column, s: Column) -> Column:
+        place, inside = F.array_position(order, s["kind"]).cast("int"), s["start"] < state["end"]
+        between = F.substr(text, state["end"] + 1, s["start"] - state["end"])
+        return F.struct(
+            F.when(inside, state["done"]).otherwise(F.concat(state["done"], tag(state), between)).alias("done"),
+            F.when(inside, F.greatest(state["end"], s["end"])).otherwise(s["end"]).alias("end"),
+            F.when(inside, F.least(state["tag"], place)).otherwise(place).alias("tag"),
+        )
+
+    return F.aggregate(spans, start, step, lambda x: F.concat(x["done"], tag(x), F.substr(text, x["end"] + 1, F.length(text))))
+
+
 def redact(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with every confirmed match in ``text`` replaced by its kind's tag, kind by kind.
+    """``df`` with every span that ``find_spans`` reports in ``text`` replaced by its kind's tag.
 
-    Account numbers go before cards, phones and addresses, which could match parts of them; each kind
-    is looked for in what the kinds before it left. Kinds that context has to confirm stay. Null stays null.
+    Overlapping spans get one tag. What this leaves is gone through once more, kind by kind, for matches
+    that the spans had hidden. Numbers whose context did not confirm them stay. Null stays null.
     """
-    for name in ("email", "iban", "card", "phone", "ip"):
-        df = df.withColumn(text, replace_matches(next(k for k in KINDS if k.name == name), F.col(text)))
-    return df
+    columns, spans = df.columns, "spans_of_" + text
+    df = find_spans(df, text, spans)
+    some = F.size(spans) > 0
+    df = df.withColumn(text, F.when(some, cut_spans(F.col(text), F.col(spans))).otherwise(F.col(text)))
+    for name in TAG_ORDER:
+        kind = next(k for k in KINDS if k.name == name)
+        if kind.score >= KEEP_SCORE:
+            df = df.withColumn(text, F.when(some, replace_matches(kind, F.col(text))).otherwise(F.col(text)))
+    return df.select(*columns)
 
 
 def replace_matches(kind: Kind, text: Column) -> Column:

@@ -326,3 +326,14 @@ def test_tokens_glued_to_names(spark):
         found = [texts[i][int(s) : int(e)] for _, s, e in (x.split(":") for x in got[i].spans.split(",") if x)]
         assert found == w, (texts[i], found)
     assert not any(got[50 + i].spans for i in range(20))
+
+
+def test_redaction_removes_what_is_reported(spark):
+    rows = [*enumerate(PII), (100, None), (101, "My SSN: 123-45-6789, call +1 555 123 4567."), (102, "é😀 social security 123-45-6789 mail a@b.co"), (103, "server +1 10.20.30.40.50.60 and 1.2.3.4 4111 1111 1111 1111")]
+    clean = pii.redact(frame(spark, rows, spans_of="kept"), "text")
+    assert clean.columns == ["doc_id", "text", "spans_of"]
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert texts[101] == "My SSN: <SSN>, call <PHONE>." and texts[102] == "é😀 social security <SSN> mail <EMAIL>"
+    assert "<SSN> and 123-45-6789 far" in texts[6] and texts[100] is None
+    left = {r.doc_id for r in pii.pii_report(clean, "doc_id", "text").collect() if r.spans}
+    assert left == {6}  # its second number was not reported; the tag before it is context now
