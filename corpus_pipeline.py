@@ -39,7 +39,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece encoding: the ids of the best segmentation and the scores of the best three."""
+    """SentencePiece encoding: the ids and scores of the best three segmentations."""
     return pieces.encode(docs, "text", ["doc_id", "lang", "source"])
 
 

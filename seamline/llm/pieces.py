@@ -19,7 +19,10 @@ import gc
 import hashlib
 import heapq
 import re
+from array import array
 from bisect import insort
+from collections.abc import Iterable
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,6 +37,7 @@ BEST = 3
 KNOWN_UNITS = 50_000
 QUERY_UNITS = 800_000
 KNOWN_LENGTH = 64
+SPELT_UNITS = 20_000
 #: How much less likely than the least piece each byte of a foreign character is.
 FOREIGN_PENALTY = 10.0
 
@@ -156,7 +160,11 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``, less the blank that encoding puts first."""
-        return b"".join(map(self.surface.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+        return self.text_of(map(self.surface.__getitem__, ids))
+
+    @staticmethod
+    def text_of(surfaces: Iterable[bytes]) -> str:
+        return b"".join(surfaces)[1:].decode("utf-8", "surrogatepass")
 
 
 def least_losses(options: list[tuple[float, ...]], count: int) -> list[float]:
@@ -200,6 +208,8 @@ class Units:
     def __init__(self, model: Model, count: int, size: int = KNOWN_UNITS):
         self.model, self.count = model, count
         self.known = Memory(self.search, size)
+        #: Of the units in which some text's later segmentations deviate.
+        self.spelt = Memory(self.spellings, min(size, SPELT_UNITS))
 
     def search(self, unit: str) -> tuple[tuple[int, ...], float, tuple[float, ...]]:
         ids: list[int] = []
@@ -213,17 +223,62 @@ class Units:
                 options.append(tuple([score - s for s, _ in found[1:]]))
         return tuple(ids), total, tuple(least_losses(options, self.count)[1:])
 
+    def spellings(self, unit: str) -> list[tuple[int, ...]]:
+        """Ids of the best segmentations of a unit; the losses of ``search`` are those of its later ones, in order."""
+        ways: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        for segment in self.model.segments(unit):
+            found = self.model.n_best(segment, self.count)
+            ways = heapq.nsmallest(self.count, [(loss + found[0][0] - s, ids + more) for loss, ids in ways for s, more in found], key=itemgetter(0))
+        return [ids for _, ids in ways]
+
     def encode(self, text: str) -> tuple[list[int], list[float]]:
         """Ids of the best segmentation and the scores of the best ones of the whole text."""
+        ids, scores, _ = self.search_text(text)
+        return ids, scores
+
+    def search_text(self, text: str) -> tuple[list[int], list[float], list[list[tuple[int, int, tuple[int, ...]]]]]:
+        """Ids of the best segmentation, scores, and by segmentation in what it deviates from the best.
+
+        Deviations are (start, end, ids to put for those from start to end), in order.
+        """
         if not text:
-            return [], [0.0]
-        found = list(map(self.known.__getitem__, self.model.units.findall(" " + text)))
+            return [], [0.0], [[]]
+        names = self.model.units.findall(" " + text)
+        found = list(map(self.known.__getitem__, names))
         ids: list[int] = []
         for unit in found:
             ids += unit[0]
         score = sum([unit[1] for unit in found])
-        losses = least_losses([unit[2] for unit in found if unit[2]], self.count)
-        return ids, [score - d for d in losses]
+        every = [unit[2] for unit in found]
+        options: list[tuple[tuple[float, ...], int]] = []
+        for losses in heapq.nsmallest(self.count - 1, filter(None, every)):
+            tied = options and options[-1][0] == losses
+            options.append((losses, every.index(losses, options[-1][1] + 1 if tied else 0)))
+        ways: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+        for losses, k in options:
+            more = [(a + b, chosen + ((k, j),)) for a, chosen in ways for j, b in enumerate(losses, 1)]
+            ways = heapq.nsmallest(self.count, ways + more, key=itemgetter(0))
+        starts: dict[int, int] = {}
+        at, last = 0, 0
+        for k in sorted({k for _, chosen in ways for k, _ in chosen}):
+            at += sum([len(unit[0]) for unit in found[last:k]])
+            starts[k], last = at, k
+        changes = [[(starts[k], starts[k] + len(found[k][0]), self.spelt[names[k]][j]) for k, j in sorted(chosen)] for _, chosen in ways]
+        return ids, [score - loss for loss, _ in ways], changes
+
+    def n_best(self, text: str) -> tuple[list[list[int]], list[float]]:
+        """Ids and scores of the best segmentations of the whole text, best first."""
+        ids, scores, changes = self.search_text(text)
+        return [with_changes(ids, c) for c in changes], scores
+
+
+def with_changes(ids, changes: list[tuple[int, int, tuple[int, ...]]]) -> list[int]:
+    out, last = [], 0
+    for start, end, put in changes:
+        out += ids[last:start]
+        out += put
+        last = end
+    return out + ids[last:]
 
 
 def units_of(path: str, scores: str, count: int, size: int) -> Units:
@@ -233,38 +288,60 @@ def units_of(path: str, scores: str, count: int, size: int) -> Units:
 
 
 def encode(df: DataFrame, text: str, keep: list[str], model: str = DEFAULT_MODEL, best: int = BEST, scores: str = "rank", known: int = KNOWN_UNITS) -> DataFrame:
-    """``keep`` with ``piece_ids`` of the best segmentation and ``n_best_scores``, best first.
+    """``keep`` with ``piece_ids`` of the best segmentation, ``n_best_scores``, best first, and ``next_ids``.
 
-    Null and empty texts have no pieces and one segmentation of score 0. The model file must be at the
-    same path on every executor.
+    ``next_ids`` lists the ids of the second best segmentation and so on, in the order of the scores. Null and
+    empty texts have no pieces and one segmentation of score 0. The model file must be at the same path on
+    every executor.
     """
 
     def make():
         units = units_of(model, scores, best, known)
-        return lambda t: units.encode((t or b"").decode("utf-8", "surrogatepass"))
 
-    return map_texts(df, text, "piece_ids array<int>, n_best_scores array<double>", make, keep)
+        def of(t: bytes | None):
+            found, values = units.n_best((t or b"").decode("utf-8", "surrogatepass"))
+            return found[0], values, found[1:]
+
+        return of
+
+    return map_texts(df, text, "piece_ids array<int>, n_best_scores array<double>, next_ids array<array<int>>", make, keep)
 
 
 def tokenised(df: DataFrame, text: str, keep: list[str], model: str = DEFAULT_MODEL, best: int = BEST, scores: str = "rank", known: int = KNOWN_UNITS) -> DataFrame:
-    """``keep`` with digests of the encoding, which is decoded again.
+    """``keep`` with digests of the encoding, whose segmentations are all decoded again.
 
-    n_pieces, n_bytes_pieces, best_score, next_score (of the second best; null if there is none),
-    ids_sha256 (little-endian 32-bit ids), exact (decoding gave the text back).
+    n_pieces, n_byte_pieces, best_score, next_score (of the second best; null if there is none), ids_sha256
+    (little-endian 32-bit ids), exact (decoding gave the text back, from every segmentation); n_best_scores
+    and n_best_sha256 of all segmentations, best first.
     """
-    fields = "n_pieces bigint, n_byte_pieces bigint, best_score double, next_score double, ids_sha256 string, exact boolean"
+    fields = (
+        "n_pieces bigint, n_byte_pieces bigint, best_score double, next_score double, ids_sha256 string, exact boolean, "
+        "n_best_scores array<double>, n_best_sha256 array<string>"
+    )
 
     def make():
         units = units_of(model, scores, best, known)
-        first, last = min(units.model.byte), max(units.model.byte)
+        first, last_byte = min(units.model.byte), max(units.model.byte)
 
         def of(t: bytes | None):
             text = (t or b"").decode("utf-8", "surrogatepass")
-            ids, found = units.encode(text)
-            a = np.array(ids, "<i4")
-            raw = int(((a >= first) & (a <= last)).sum())
-            following = found[1] if len(found) > 1 else None
-            return len(ids), raw, found[0], following, hashlib.sha256(a.tobytes()).hexdigest(), units.model.decode(ids) == text
+            ids, values, changes = units.search_text(text)
+            best_ids, surface = np.array(array("i", ids), "<i4"), units.model.surface
+            parts = list(map(surface.__getitem__, ids))
+            digests, exact = [], True
+            for change in changes:
+                as_array, as_bytes, last = [], [], 0
+                for start, end, put in change:
+                    as_array += best_ids[last:start], np.array(put, "<i4")
+                    as_bytes += parts[last:start]
+                    as_bytes += map(surface.__getitem__, put)
+                    last = end
+                whole = np.concatenate((*as_array, best_ids[last:])) if change else best_ids
+                digests.append(hashlib.sha256(whole.tobytes()).hexdigest())
+                exact = exact and Model.text_of(as_bytes + parts[last:]) == text
+            raw = int(((best_ids >= first) & (best_ids <= last_byte)).sum())
+            following = values[1] if len(values) > 1 else None
+            return len(ids), raw, values[0], following, digests[0], exact, values, digests
 
         return of
 
@@ -272,5 +349,5 @@ def tokenised(df: DataFrame, text: str, keep: list[str], model: str = DEFAULT_MO
 
 
 def op3_piece_nbest(spark, sf_dir: str) -> DataFrame:
-    """Every document encoded to pieces, with its three best segmentations' scores, and decoded again."""
+    """Every document encoded to its three best segmentations, each with score and digest, and decoded again."""
     return tokenised(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", ["doc_id"], known=QUERY_UNITS)

@@ -337,3 +337,22 @@ def test_redaction_removes_what_is_reported(spark):
     assert "<SSN> and 123-45-6789 far" in texts[6] and texts[100] is None
     left = {r.doc_id for r in pii.pii_report(clean, "doc_id", "text").collect() if r.spans}
     assert left == {6}  # its second number was not reported; the tag before it is context now
+
+
+def test_pieces_of_every_segmentation(spark):
+    model = pieces.Model(pieces.DEFAULT_MODEL)
+    units = pieces.Units(model, 3)
+    texts = ["Hello  world", "x\ny z", " ▁ a", "the then", "to be or not", "a", "", "then the then"]
+    for t in texts:
+        found, scores = units.n_best(t)
+        paths = {ids: score for score, ids in all_paths(model, " " + t)}
+        assert found[0] == units.encode(t)[0] and len({tuple(x) for x in found}) == len(found) == len(scores)
+        if t:
+            assert [round(paths[tuple(x)], 6) for x in found] == [round(x, 6) for x in scores] == [round(x, 6) for x in sorted(paths.values(), reverse=True)[:3]]
+    rows = list(enumerate(texts))
+    for r in pieces.encode(frame(spark, rows), "text", ["doc_id", "text"]).collect():
+        assert [r.piece_ids, *r.next_ids] == units.n_best(r.text)[0] and len(r.n_best_scores) == 1 + len(r.next_ids)
+        assert all(model.decode(ids) == r.text for ids in r.next_ids)
+    for r in pieces.tokenised(frame(spark, rows), "text", ["doc_id", "text"]).collect():
+        found, scores = units.n_best(r.text)
+        assert r.exact and r.n_best_scores == scores and r.n_best_sha256 == [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in found]
