@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seamline.llm import jaccard
+from seamline.llm import jaccard, skew
 
 
 def shingles(text, words):
@@ -66,10 +67,37 @@ def test_shuffled_ways_agree(spark, monkeypatch):
     rows = corpus(7)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     few = sorted(map(str, jaccard.jaccard_components(df, "doc_id", "text", 3, 80).collect()))
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
     assert sorted(map(str, jaccard.jaccard_components(df, "doc_id", "text", 3, 80).collect())) == few
 
 
+def test_ways_for_large_corpora_agree(spark, monkeypatch):
+    """Two steps of dealing, colliding names, spread keys and blocks of pairs, all forced on few rows."""
+    rows = corpus(11)[:30]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for module, name, value in [
+        (jaccard, "WIDE", 7), (jaccard, "CHARS_PER_BUCKET", 1_000), (jaccard, "BLOCK_SHINGLES", 3_000), (jaccard, "NAME_BITS", 4),
+        (jaccard, "MEMBERS_PER_BLOCK", 3), (skew, "HOT_ROWS", 10),
+    ]:
+        monkeypatch.setattr(module, name, value)
+    got = jaccard.jaccard_components(df, "doc_id", "text", 3, 80).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 3, 80)
+
+
+def test_two_steps_count_as_one(spark, monkeypatch):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(5))]
+    docs = spark.createDataFrame(rows, "key long, text string").repartition(9)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 2_000)
+
+    def counts(buckets, wide):
+        got = jaccard.fact_rows(docs, 3, buckets, "bigint", pa.int64(), wide)
+        counted = got.where("n is null").groupBy("member").agg(F.sum("singles").alias("s")).collect()
+        return {r.member: r.s for r in counted}, sorted(r.key for r in got.where("n is not null").collect())
+
+    one = counts(64, 1_000)
+    assert counts(5_000, 16) == one and counts(16, 16) == one and len(one[1]) == len(rows)
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(empty, "doc_id", "text").count() == 0
