@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.llm.ranking import number_rows
+from seamline.llm.skew import fits_broadcast
 from seamline.llm.words import word_count
 from seamline.session import durable
 
@@ -27,8 +28,6 @@ MOST = 2.0
 STEPS = 40
 FINISH = 4
 ROWS_PER_BUCKET = 500
-#: Classes of (source, size) that are sent to every executor; beyond that, rows and classes are shuffled.
-BROADCAST_ROWS = 300_000
 
 
 def targets(sources: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -138,10 +137,12 @@ def mix(rows: DataFrame, key: str, source: Column, size: Column, share: float =
     """``row`` (a struct of all columns of ``rows``), source, size, source_size, target, copies (0, 1 or 2).
 
     Nulls in ``source`` are one source, the last; documents of size 0 count for nothing and are kept
-    once. Rows repeated with the same key are documents of their own. Two runs give the same rows. ``rows``
-    is read twice; of its columns only ``key``, ``source`` and ``size`` decide anything.
+    once. Rows repeated with the same key are documents of their own. Two runs give the same rows: which
+    of a size get one copy more is drawn by hash of the key, among rows of one key by hash of all columns
+    (but maps), so that only equal rows tie. ``rows`` is read twice.
     """
-    rows = rows.select(F.struct("*").alias("row"), source.alias("source"), size.alias("size"), F.col(key).alias("key"))
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()])
+    rows = rows.select(F.struct("*").alias("row"), source.alias("source"), size.alias("size"), F.col(key).alias("key"), whole.alias("whole"))
     hist = durable(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     goals = durable(targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share))
     same = hist["source"].eqNullSafe(goals["source"])
@@ -153,7 +154,7 @@ def mix(rows: DataFrame, key: str, source: Column, size: Column, share: float =
     named = classes.select("source_no", "source").distinct().join(goals.select("source_no", "source_size", "target"), "source_no")
     copies = durable(copies.join(named, "source_no").withColumnsRenamed({"source": "s", "size": "z"}))
 
-    few = copies.count() <= BROADCAST_ROWS
+    few = fits_broadcast(copies)
     same = F.col("source").eqNullSafe(F.col("s")) & F.col("size").eqNullSafe(F.col("z"))
     placed = rows.join(F.broadcast(copies) if few else copies, same).drop("s", "z")
     out = ["row", "source", "size", "source_size", "target"]
@@ -161,7 +162,7 @@ def mix(rows: DataFrame, key: str, source: Column, size: Column, share: float =
     sure = placed.where(fixed).select(*out, (F.col("base") + (F.col("extra") > 0).cast("long")).alias("copies"))
     open_ = placed.where(~fixed).withColumn("digest", F.xxhash64("key", "size", "source_no"))
     open_ = open_.withColumn("bucket", F.pmod("digest", F.ceil(F.col("n") / ROWS_PER_BUCKET)))
-    drawn = number_rows(open_, ["source_no", "size"], "bucket", ["digest", "key"], "rank")
+    drawn = number_rows(open_, ["source_no", "size"], "bucket", ["digest", "key", "whole"], "rank")
     drawn = drawn.select(*out, (F.col("base") + (F.col("rank") <= F.col("extra")).cast("long")).alias("copies"))
     return sure.unionByName(drawn)
 
