@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seamline.llm.texts import map_texts
 
@@ -140,16 +141,26 @@ def decode(data: memoryview, leaf: dict[bytes, tuple[int, int]]) -> Track:
     codec = bytes(data[leaf[b"stsd"][0] + 12 : leaf[b"stsd"][0] + 16]).decode("latin-1")
     runs = table_of(data, leaf[b"stts"], 2)
     same, count = struct.unpack_from(">II", data, leaf[b"stsz"][0] + 4)
+    if same * count > len(data):
+        raise ValueError(f"{count} samples of {same} bytes do not fit")
     sizes = np.full(count, same, np.int64) if same else np.frombuffer(data, ">u4", count, leaf[b"stsz"][0] + 12).astype(np.int64)
     chunks = table_of(data, leaf[b"co64"], 1, ">u8")[:, 0] if b"co64" in leaf else table_of(data, leaf[b"stco"], 1)[:, 0]
     spread = table_of(data, leaf[b"stsc"], 3)
-    last = np.append(spread[1:, 0], len(chunks) + 1)
-    per_chunk = np.repeat(spread[:, 1], last - spread[:, 0])[: len(chunks)]
-    chunk = np.repeat(np.arange(len(chunks)), per_chunk)[:count]
+    first_chunk = spread[:, 0] - 1
+    if count and (not len(spread) or first_chunk[0] or (np.diff(first_chunk) <= 0).any() or first_chunk[-1] >= len(chunks)):
+        raise ValueError("runs of chunks are not in order")
+    per_chunk = spread[np.searchsorted(first_chunk, np.arange(len(chunks)), "right") - 1, 1] if len(spread) else np.empty(0, np.int64)
+    upto = np.cumsum(per_chunk)
+    if count > (upto[-1] if len(upto) else 0):
+        raise ValueError("chunks hold fewer samples than there are sizes")
+    chunk = np.searchsorted(upto, np.arange(count), "right")
     before = np.cumsum(sizes) - sizes
-    first = np.cumsum(per_chunk) - per_chunk
-    offsets = chunks[chunk] + before - before[first[chunk]] if count else np.empty(0, np.int64)
+    offsets = chunks[chunk] + before - before[(upto - per_chunk)[chunk]] if count else np.empty(0, np.int64)
+    if count and ((offsets < 0).any() or (offsets + sizes > len(data)).any()):
+        raise ValueError("samples lie outside the file")
     keys = table_of(data, leaf[b"stss"], 1)[:, 0] - 1 if b"stss" in leaf else np.arange(count)
+    if len(keys) and (keys.min() < 0 or keys.max() >= count):
+        raise ValueError("key samples that are none")
     return Track(codec, timescale, int((runs[:, 0] * runs[:, 1]).sum()), offsets, sizes, keys)
 
 
@@ -163,41 +174,58 @@ def payload(data: memoryview, track: Track) -> bytes:
 
 
 def to_media(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` with ``n_bytes`` of the text and ``media``, the file that stores it."""
+    """``keep`` with ``n_bytes`` of the text and ``media``, the file that stores it; null texts are empty ones."""
     return map_texts(df, text, "n_bytes bigint, media binary", lambda: lambda t: (len(t or b""), mux(padded(t or b""))), keep)
 
 
-def probe(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
-    """``keep`` with codec, timescale, duration, keyframes (offset, length) of the first track, error.
+PROBED = "codec string, timescale bigint, duration bigint, samples bigint, keyframes array<struct<offset:bigint,length:bigint>>"
+READ = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint"
+
+
+def first_track(data: bytes | None) -> tuple[memoryview, Track]:
+    view = memoryview(data or b"")
+    found = tracks(view)
+    if not found:
+        raise ValueError("no track")
+    return view, decode(view, found[0])
+
+
+def probed(view: memoryview, t: Track) -> tuple:
+    return t.codec, t.timescale, t.duration, len(t.sizes), [{"offset": o, "length": n} for o, n in t.key_ranges]
+
+
+def digested(view: memoryview, t: Track) -> tuple:
+    body = payload(view, t)
+    return len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:])
 
-    Null, empty or broken files have nulls and say why in ``error``.
+
+def examine(df: DataFrame, media: str, keep: list[str], parts: list[tuple] | None = None) -> DataFrame:
+    """``keep`` with what is asked of the first track of each file, and ``error``, in one reading.
+
+    Null, empty or broken files have nulls and say why in ``error``; counts that a file claims are held
+    against its size before anything is set aside for them.
     """
-    fields = "codec string, timescale bigint, duration bigint, samples bigint, keyframes array<struct<offset:bigint,length:bigint>>, error string"
+    asked = [(PROBED, probed), (READ, digested)] if parts is None else parts
+    nulls = (None,) * sum(len(StructType.fromDDL(ddl)) for ddl, _ in asked)
 
     def of(data: bytes | None):
         try:
-            view = memoryview(data or b"")
-            found = tracks(view)
-            if not found:
-                raise ValueError("no track")
-            t = decode(view, found[0])
-            return t.codec, t.timescale, t.duration, len(t.sizes), [{"offset": o, "length": n} for o, n in t.key_ranges], None
-        except (ValueError, KeyError, IndexError, struct.error) as e:
-            return None, None, None, None, None, f"{type(e).__name__}: {e}"
+            view, track = first_track(data)
+            return *[v for _, read in asked for v in read(view, track)], None
+        except (ValueError, KeyError, IndexError, OverflowError, struct.error) as e:
+            return *nulls, f"{type(e).__name__}: {e}"
 
-    return map_texts(df, media, fields, lambda: of, keep)
+    return map_texts(df, media, ", ".join([*[ddl for ddl, _ in asked], "error string"]), lambda: of, keep)
 
 
-def read_back(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
-    """``keep`` with size, digest and tail checksum of the payload as the sample tables give it."""
+def probe(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
+    """``keep`` with codec, timescale, duration, samples, keyframes (offset, length) of the first track, error."""
+    return examine(df, media, keep, [(PROBED, probed)])
 
-    def of(data: bytes | None):
-        view = memoryview(data or b"")
-        found = tracks(view)
-        body = payload(view, decode(view, found[0])) if found else b""
-        return len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:])
 
-    return map_texts(df, media, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint", lambda: of, keep)
+def read_back(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
+    """``keep`` with size, digest and tail checksum of the payload as the sample tables give it, error."""
+    return examine(df, media, keep, [(READ, digested)])
 
 
 def op6_iso_media(spark, sf_dir: str) -> DataFrame:
@@ -207,12 +235,9 @@ def op6_iso_media(spark, sf_dir: str) -> DataFrame:
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stored = to_media(docs, "text", ["doc_id"])
-    names = ["doc_id", "n_bytes", "media"]
-    read = read_back(stored, "media", names)
-    digests = ["doc_id", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32"]
-    probed = probe(read, "media", digests)
+    found = examine(stored, "media", ["doc_id", "n_bytes", "media"])
     ranges = F.array_join(F.transform("keyframes", lambda k: F.concat_ws("+", k["offset"], k["length"])), ",")
-    return probed.select(
+    return found.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
