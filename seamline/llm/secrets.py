@@ -20,6 +20,7 @@ many short tokens do not lower the bar for long ones.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -162,7 +163,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def tested(run: str, at: int, base: list[tuple[int, int, int]]) -> list[tuple[int, str, float]]:
+def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the sorted spans cover, in disjoint pieces."""
+    starts, ends = [], []
+    for start, _, end in spans:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def touches(covered: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether a piece of ``merged`` reaches into [start, end)."""
+    after = bisect.bisect_left(covered[0], end)
+    return after > 0 and covered[1][after - 1] > start
+
+
+def tested(run: str, at: int, base: tuple[list[int], list[int]]) -> list[tuple[int, str, float]]:
     """start, token, log10 of p of the candidates in a run of token characters that starts at ``at``.
 
     "=" ends a token that it pads and parts others. What lies between is tested whole, and in parts between
@@ -174,7 +193,7 @@ def tested(run: str, at: int, base: list[tuple[int, int, int]]) -> list[tuple[in
         found = []
         for m in cuts.finditer(part):
             s, e = start + m.start(), start + m.end()
-            if m.end() - m.start() >= STRATA[0] and not any(a < e and s < b for a, _, b in base):
+            if m.end() - m.start() >= STRATA[0] and not touches(base, s, e):
                 p = battery(m[0])
                 if p is not None:
                     found.append((s, m[0], p))
@@ -196,9 +215,9 @@ def scan(data: bytes | None) -> tuple:
     text = (data or b"").decode("utf-8", "surrogatepass")
     base = base_spans(text)
     named = [(s, r, f"{KINDS[r]}:{s}:{e}") for s, r, e in base]
-    tokens = []
+    tokens, covered = [], merged(base)
     for m in TOKEN.finditer(text):
-        for start, token, p in tested(m[0], m.start(), base):
+        for start, token, p in tested(m[0], m.start(), covered):
             end = start + len(token)
             tokens.append((start, 3, f"random:{start}:{end}", stratum_of(token), min(LAST_BIN, int(-p * BINS_PER_UNIT))))
     kinds = [r for _, r, _ in base]
