@@ -80,8 +80,8 @@ def gate(df: DataFrame, precision: Column, rate_ratio: Column, least: float = 0.
     p, r = or_missing(precision), or_missing(rate_ratio)
     good = ((p < 0) | (p >= least)) & ((r < 0) | (r <= most))
     flagged = df.withColumn("passes_gate", good)
-    any_good = F.max("passes_gate").over(Window.partitionBy())
-    return flagged.withColumn("any_passes", any_good).where("passes_gate or not any_passes").drop("any_passes")
+    any_good = flagged.agg(F.max("passes_gate")).scalar()
+    return flagged.where(F.col("passes_gate") | ~F.coalesce(any_good, F.lit(False)))
 
 
 def ranked(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame:
@@ -91,7 +91,7 @@ def ranked(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame:
 
 def delta_to(df: DataFrame, name: str, reference: str, value: str) -> DataFrame:
     """``df`` with the difference of ``value`` to that of the row named ``reference`` (null without one)."""
-    base = F.max(F.when(F.col(name) == reference, F.col(value))).over(Window.partitionBy())
+    base = df.where(F.col(name) == reference).agg(F.max(value)).scalar()
     return df.withColumn("delta", F.col(value) - base)
 
 

@@ -78,9 +78,13 @@ def equidistant_rows(df: DataFrame, order: list[str], take: int) -> DataFrame:
     """``take`` rows evenly spread in ``order``, with their ordinal; ``take`` = 0 means all."""
     numbered = with_ordinal(df, order)
     total = df.count()
-    wanted = equidistant(total, take or total)
-    spark = df.sparkSession
-    return numbered.join(F.broadcast(spark.createDataFrame([(i,) for i in wanted], "ordinal bigint")), "ordinal", "left_semi")
+    if take <= 0 or take >= total:
+        return numbered
+    if take == 1:
+        return numbered.where("ordinal = 0")
+    # the only place whose ordinal could be a row's is known from the row; no list of ordinals is made
+    place = F.round(F.col("ordinal") * (take - 1) / (total - 1))
+    return numbered.where(F.col("ordinal") == F.bround(place * (total - 1) / (take - 1)))
 
 
 def seeded(key: Column, seed: int) -> Column:

@@ -29,11 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only a session without one (tests) gets a folder of its own.
+    It is the cluster's ``spark.checkpoint.dir``; only a local session without one (tests) gets a folder of its own.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seamline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seamline-"))
     return context.getCheckpointDir()
 
 
