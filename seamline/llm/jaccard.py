@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from seamline.llm.skew import fits_broadcast, salted_join
 from seamline.llm.texts import WordHashes, bound_batches, word_hashes
@@ -417,7 +418,7 @@ def jaccard_components(df: DataFrame, key: str, text: str, words: int = 5, perce
     """
     docs = bound_batches(df).select(F.col(key).alias("key"), F.col(text).alias("text"))
     key_type = docs.schema["key"].dataType.simpleString()
-    arrow_key = to_arrow_type(docs.schema["key"].dataType)
+    arrow_key = to_arrow_type(StructType.fromDDL(f"key {key_type}")["key"].dataType)  # every part may be null
     chars = df.agg(F.sum(F.length(text))).first()[0] or 0
     counted = durable(fact_rows(docs, words, max(16, -(-chars // CHARS_PER_BUCKET)), key_type, arrow_key))
 
