@@ -15,7 +15,7 @@ BROADCAST_BYTES = 32_000_000
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether ``df`` is small in rows and in bytes (as JSON, an upper bound for what it holds)."""
+    """Whether ``df`` is small in rows and in bytes (counted as JSON)."""
     size = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
     return size.n <= BROADCAST_ROWS and (size.b or 0) <= BROADCAST_BYTES
 
