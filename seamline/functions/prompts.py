@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seamline.functions.arrays import let, offsets_of_lengths
-from seamline.functions.text import rstrip, strip
+from seamline.functions.arrays import empty, let, offsets_of_lengths
+from seamline.functions.text import is_blank, rstrip, strip
 
 #: What stands in for a missing part, and the frame of a task with tests.
 NO_TASK = "Implement the requested function."
 NO_TESTS = "# Synthetic tests unavailable"
 NO_SIGNATURE = "def solve(...):"
 TASK, TESTS, BEGIN = "[TASK]\n", "\n[TESTS]\n", "\n[BEGIN]\n"
+SECTIONS = ("[TASK]", "[SIGNATURE]", "[PUBLIC_TESTS]", "[CODE]")
 TOKEN = r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+"
 
 
@@ -63,6 +64,36 @@ def tested_prompt(task: Column, tests: Column, code: Column) -> Column:
     return before_code(F.concat(F.lit(TASK), filled_or(task, NO_TASK), F.lit(TESTS), filled_or(tests, NO_TESTS), F.lit(BEGIN)), code)
 
 
+def section(title: str, body: Column) -> Column:
+    """A titled body without line ends around it; "" for blank and null."""
+    held = F.regexp_replace(body, r"\A\n+|\n+\z", "")
+    return F.when(~is_blank(held), F.concat(F.lit(f"{title}\n"), held, F.lit("\n"))).otherwise("")
+
+
+def sectioned_prompt(task: Column, given: Column, tests: Column, code: Column) -> Column:
+    """``before_code`` of titled sections; the task's is there even without a task, blank others are not."""
+    first, second, third, last = SECTIONS
+    opening = F.coalesce(F.nullif(section(first, task), F.lit("")), F.lit(f"{first}\n\n"))
+    return before_code(F.concat(opening, section(second, given), section(third, tests), F.lit(f"{last}\n")), code)
+
+
+def joined_code(segments: Column) -> Column:
+    """Segments as one text: on new lines, but for those that bring their own blank or follow a colon or blank."""
+
+    def add(done: Column, s: Column) -> Column:
+        tight = (done == "") | done.rlike(r"[\n: ]\z") | s.rlike(r"\A[\n \t]")
+        return F.concat(done, F.when(tight, "").otherwise("\n"), F.regexp_replace(s, r"\n+\z", ""))
+
+    some = F.filter(F.coalesce(segments, empty("string")), lambda s: ~is_blank(s))
+    return F.aggregate(some, F.lit(""), add, lambda done: F.when(done != "", F.concat(rstrip(done), F.lit("\n"))).otherwise(""))
+
+
+def bare_checks(tests: Column) -> Column:
+    """Tests whose calls of check with one name begin their lines; without a line end at the end."""
+    bare = F.regexp_replace(tests, r"(?m)^[ \t]+(check\([A-Za-z_][A-Za-z0-9_]*\)[ \t]*)$", "$1")
+    return F.coalesce(F.regexp_replace(bare, r"\n\z", ""), F.lit(""))
+
+
 def token_starts(text: Column) -> Column:
     """Where tokens begin, words with the blanks before them being tokens; for callers without a tokenizer."""
     return offsets_of_lengths(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.length))

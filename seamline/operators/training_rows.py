@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seamline.functions import prompts as P
 from seamline.functions.arrays import empty
 from seamline.functions.kernels import labels as K
-from seamline.functions.text import first_nonblank
+from seamline.functions.text import is_blank
 from seamline.operators.predicates import hard_cluster
 
 Tokens = Callable[[Column], Column]
@@ -45,10 +45,9 @@ def described(df: DataFrame, prompt: Column, source: str, view: str, task: Colum
 
 def with_code(df: DataFrame) -> DataFrame:
     """Rows in Python, or of no stated language, that have code: the field code, else code_text, else joined segments."""
-    joined = F.array_join(F.coalesce("segments", empty("string")), "\n\n")
-    code = first_nonblank(F.col("code"), F.col("code_text"), joined)
+    code = F.coalesce(*[F.when(~is_blank(c), c) for c in (F.col("code"), F.col("code_text"))], P.joined_code(F.col("segments")))
     spoken = F.lower(F.coalesce("language", F.lit("")))
-    return df.withColumn("source_code", code).where(spoken.isin("", "python")).where(F.trim(F.coalesce("source_code", F.lit(""))) != "")
+    return df.withColumn("source_code", code).where(spoken.isin("", "python")).where(~is_blank(F.col("source_code")))
 
 
 def own_columns(df: DataFrame, task: Column, given: Column, code: Column, annotated: Column, annotated_start: Column) -> DataFrame:
@@ -90,6 +89,8 @@ def bridge_rows(df: DataFrame, tokens: Tokens = P.token_starts, most: int = 4096
 def contest_rows(df: DataFrame, tokens: Tokens = P.token_starts, most: int = 4096) -> DataFrame:
     """One row a task: its first solution that is not blank, after the description; tasks without one give none.
 
+    Tests are summed up in a column and are no part of the prompt.
+
     ``df``: task_id, description, public_tests (structs input, output), solutions.
     """
     first = F.get(F.filter("solutions", lambda s: F.trim(s) != ""), 0)
@@ -97,10 +98,20 @@ def contest_rows(df: DataFrame, tokens: Tokens = P.token_starts, most: int = 409
         "task_id", F.coalesce("description", F.lit("")).alias("task"), first.alias("code_text"), P.numbered_tests(F.col("public_tests")).alias("public_test_summary"),
         F.lit(None).cast("string").alias("annotated"), F.lit(0).alias("annotated_start"),
     ).where(F.col("code_text").isNotNull())
-    prompt = P.documented_prompt(F.lit(None).cast("string"), F.col("task"), F.col("code_text"))
+    none = F.lit(None).cast("string")
+    prompt = P.sectioned_prompt(F.col("task"), none, none, F.col("code_text"))
     return labelled(described(rows, prompt, CONTEST, CONTEST_VIEW, F.col("task"), F.lit(None).cast("string")).drop("task"), tokens, most)
 
 
+def sample_rows(df: DataFrame, tokens: Tokens = P.token_starts, most: int = 4096) -> DataFrame:
+    """Rows of samples of both kinds: contests by name (``dataset``) or by having tests or solutions, else both views of the code.
+
+    ``df`` has the columns of ``documented_rows`` and ``contest_rows``.
+    """
+    contest = F.contains(F.lower(F.coalesce("dataset", F.lit(""))), F.lit("contest")) | F.col("public_tests").isNotNull() | F.col("solutions").isNotNull()
+    return contest_rows(df.where(contest), tokens, most).unionByName(bridge_rows(df.where(~contest), tokens, most), allowMissingColumns=True)
+
+
 def made_rows(df: DataFrame, repeats: int, tokens: Tokens = P.token_starts, most: int = 4096) -> DataFrame:
     """Samples (task_id, description, signature, code) repeated, with numbered ids."""
     numbered = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))) if repeats > 0 else df.withColumn("repeat", F.lit(0)).limit(0)

@@ -48,6 +48,11 @@ def test_prompts(spark):
     assert tuple(one(P.documented_prompt(nothing, F.lit(' a"""b '), F.lit("x\n\n")))) == ('def solve(...):\n    """a\\"\\"\\"b"""\nx', 35)
     lead = "[TASK]\nImplement the requested function.\n[TESTS]\n# Synthetic tests unavailable\n[BEGIN]\n"
     assert tuple(one(P.tested_prompt(nothing, nothing, F.lit("x")))) == (lead + "x", len(lead))
+    sectioned = one(P.sectioned_prompt(F.lit("\n"), F.lit("def f():"), F.lit("t\n"), F.lit("c\n")))
+    assert tuple(sectioned) == ("[TASK]\n\n[SIGNATURE]\ndef f():\n[PUBLIC_TESTS]\nt\n[CODE]\nc", 8 + 21 + 17 + 7)
+    parts = F.array(*map(F.lit, ("if x:\n", " ", "y = 1", "    z = 2\n\n", "w")))
+    assert one(P.joined_code(parts)) == "if x:y = 1    z = 2\nw\n" and one(P.joined_code(F.lit(None).cast("array<string>"))) == ""
+    assert one(P.bare_checks(F.lit("a\n  check(f)\n  check(1)\n"))) == "a\ncheck(f)\n  check(1)" and one(P.bare_checks(nothing)) == ""
     assert one(P.signature_or_name(F.lit(" "), F.lit("go"))) == "def go(...):" and one(P.signature_or_name(nothing, nothing)) is None
     assert one(P.callable_tests(F.lit("def go(a):"), nothing)).startswith("assert callable(go)\n# Task intent: implement the function\n")
     tests = F.expr("array(named_struct('input', 'a\nb', 'output', '1'), named_struct('input', 'c', 'output', null))")
@@ -74,7 +79,9 @@ def test_bridge_rows(spark):
 def test_other_rows(spark):
     contests = spark.createDataFrame([("t", "add", [("1", "2")], [" ", "print(1)"]), ("u", None, None, None), ("v", None, None, [])], "task_id string, description string, public_tests array<struct<input:string,output:string>>, solutions array<string>")
     (c,) = rows(T.contest_rows(contests))
-    assert c["code_text"] == "print(1)" and c["public_test_summary"] == "case_1: 1 -> 2" and c["serialized_text"].startswith("def solve(...):\n")
+    assert c["code_text"] == "print(1)" and c["public_test_summary"] == "case_1: 1 -> 2" and c["serialized_text"] == "[TASK]\nadd\n[CODE]\nprint(1)"
+    both = spark.createDataFrame([("t", None, "x = 1", None, None, None, None, None, None, None, None, ["y"]), ("u", None, "x = 1", None, None, None, None, None, "", None, None, None)], SAMPLES + ", dataset string, description string, public_tests array<struct<input:string,output:string>>, solutions array<string>")
+    assert sorted((r["task_id"], r["code_text"]) for r in rows(T.sample_rows(both))) == [("t", "y"), ("u", "x = 1"), ("u", "x = 1")]
     made = spark.createDataFrame([("p", "twice", "def f(a):", "def f(a):\n    return 2 * a\n")], "task_id string, description string, signature string, code string")
     assert sorted(r["task_id"] for r in rows(T.made_rows(made, 2))) == ["p_0000", "p_0001"] and rows(T.made_rows(made, 0)) == []
     puzzles = spark.createDataFrame([
