@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from seamline.llm.dialogue import op11_conversation_repair
 from seamline.llm.jaccard import op10_jaccard_join
 from seamline.llm.licenses import SQL as LICENSE_SQL
 from seamline.llm.licenses import op8_license_scan
@@ -27,6 +28,7 @@ QUERIES = {
         op8_license_scan,
         op9_pii,
         op10_jaccard_join,
+        op11_conversation_repair,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op8_license_scan": LICENSE_SQL}
