@@ -14,6 +14,7 @@ from seamline.llm.quality import op4_quality_rules
 from seamline.llm.quotes import op7_quote_links
 from seamline.llm.secrets import op5_secret_scan
 from seamline.llm.sharding import op1_minimax_shards
+from seamline.llm.tokens import op12_token_counts
 
 QUERIES = {
     f.__name__: f
@@ -29,6 +30,7 @@ QUERIES = {
         op9_pii,
         op10_jaccard_join,
         op11_conversation_repair,
+        op12_token_counts,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op8_license_scan": LICENSE_SQL}
