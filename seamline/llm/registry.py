@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from seamline.llm.codebooks import op13_vector_codes
 from seamline.llm.dialogue import op11_conversation_repair
 from seamline.llm.jaccard import op10_jaccard_join
 from seamline.llm.licenses import SQL as LICENSE_SQL
@@ -31,6 +32,7 @@ QUERIES = {
         op10_jaccard_join,
         op11_conversation_repair,
         op12_token_counts,
+        op13_vector_codes,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op8_license_scan": LICENSE_SQL}
