@@ -9,6 +9,7 @@ from seamline.llm.licenses import SQL as LICENSE_SQL
 from seamline.llm.licenses import op8_license_scan
 from seamline.llm.media import op6_iso_media
 from seamline.llm.mixing import op2_entropy_mix
+from seamline.llm.oracles import codes_sql, repair_sql
 from seamline.llm.pieces import op3_piece_nbest
 from seamline.llm.pii import op9_pii
 from seamline.llm.quality import op4_quality_rules
@@ -35,4 +36,4 @@ QUERIES = {
         op13_vector_codes,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op8_license_scan": LICENSE_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_license_scan": LICENSE_SQL, "op11_conversation_repair": repair_sql(), "op13_vector_codes": codes_sql()}
