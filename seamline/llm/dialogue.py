@@ -24,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from seamline.llm.ranking import number_by_ranges
 from seamline.llm.skew import salted_join
 from seamline.llm.texts import as_bytes
 from seamline.llm.words import BLANKS
@@ -345,13 +346,8 @@ def positioned(rows: DataFrame) -> DataFrame:
     sights = once.groupBy("same").agg(F.min("at").alias("first_at"))
     once = salted_join(once, sights, "same", F.col("at"), once.count())
     once = once.withColumn("seen", (F.col("at") > F.col("first_at"))).drop("at", "same", "first_at")
-    parts = stored(once.repartitionByRange(*order()[:-1], F.substring("text", 1, PREFIX)).sortWithinPartitions(*order()).withColumn("part", F.spark_partition_id()), "ranges")
-    sizes = parts.groupBy("conv_key", "part").agg(F.sum("copies").alias("n"))
-    before = Window.partitionBy("conv_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("conv_key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("conv_key", "part").orderBy(*order()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("within", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(starts, ["conv_key", "part"])
-    return placed.withColumn("place", F.col("start") + F.col("within")).drop("part", "within", "start")
+    near = [*order()[1:-1], F.substring("text", 1, PREFIX)]
+    return number_by_ranges(once, ["conv_key"], order()[1:], "copies", "place", near).withColumn("place", F.col("place") - 1)
 
 
 def solved_blocks(rows: DataFrame, costs: Costs) -> DataFrame:

@@ -19,18 +19,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.functions.arrays import let
-from seamline.llm.ranking import number_rows
+from seamline.llm.ranking import number_by_ranges
+from seamline.llm.skew import salted_join
 from seamline.session import durable
 
 QUOTED = r"(?:^|\n)[ \t]*>"
-MARKS = r"^[ \t]*((?:>[ \t]?)+)"
-#: Verbs that end a line which announces a quotation.
+#: Possessive, so that a line of any number of marks is matched without recursion.
+MARKS = r"^[ \t]*+((?:>[ \t]?+)++)"
+#: Verbs that end a line which announces a quotation. Lines that announce in other words stay in the body.
 VERBS = r"(?:wrote|writes|said|schrieb|schreibt|a écrit|écrit|escribió|escribe|ha scritto|escreveu|schreef|skrev|napisał)[ \t]*$"
 TURNS_PER_BUCKET = 1_000
 #: Words of the windows that candidates are joined by.
 WINDOW = 6
-#: Passages of fewer characters are looked for in their own conversation only: they stand everywhere.
-FAR_CHARS = 8
 
 
 def normalised(text: Column) -> Column:
@@ -109,8 +109,10 @@ def containing(passages: DataFrame, bodies: DataFrame) -> DataFrame:
     anchors = grams.join(often, "window", "left").groupBy("passage").agg(
         F.min("often").alias("often"), F.min_by("window", F.struct("often", "window")).alias("window"), F.max(F.col("often").isNull()).alias("nowhere")
     )
-    pairs = anchors.where(~F.col("nowhere")).select("passage", "window").join(spots, "window").select("passage", "message")
-    both = pairs.join(passages.select("passage", F.array_join("words", " ").alias("wanted")), "passage").join(bodies, "message")
+    anchors = anchors.where(~F.col("nowhere")).select("passage", "window")
+    pairs = durable(salted_join(spots, anchors, "window", F.col("message"), spots.count()).select("passage", "message"))
+    wanted = passages.select("passage", F.array_join("words", " ").alias("wanted"))
+    both = salted_join(pairs, wanted, "passage", F.col("message"), pairs.count()).join(bodies, "message")
     within = F.instr(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "wanted", F.lit(" "))) > 0
     return both.where(within).select("passage", "message")
 
@@ -139,8 +141,8 @@ def link_quotes(df: DataFrame, conversation: str = "conv_id", turn: str = "turn"
     a thread of their own. Null texts are empty bodies; null conversations are one conversation, null
     turns its first. Messages with the same conversation, turn and text are one message, kept as often as
     it occurs and linked alike. Of several sources in one turn, that with the greatest message hash is
-    taken. Passages under ``FAR_CHARS`` characters link within their own conversation only. Further
-    columns of ``df`` are not looked at.
+    taken. Lines may begin with any number of marks, messages may be of any length; an empty table gives no
+    rows. Further columns of ``df`` are not looked at.
     """
     m = df.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     conv = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("none"))
@@ -157,9 +159,8 @@ def link_quotes(df: DataFrame, conversation: str = "conv_id", turn: str = "turn"
     found = durable(found)
 
     near = latest_before(quotes, found.join(quotes.select("conv", "passage").distinct(), ["conv", "passage"], "left_semi"))
-    far_ones = quotes.where(F.length("words") >= FAR_CHARS).select("passage").distinct()
-    first = found.join(far_ones, "passage", "left_semi").groupBy("passage").agg(F.min(F.struct("conv_id", "turn", "message")).alias("first"))
-    linked = quotes.join(near, ["conv", "passage", "at"], "left").join(first, "passage", "left")
+    first = found.groupBy("passage").agg(F.min(F.struct("conv_id", "turn", "message")).alias("first"))
+    linked = salted_join(quotes.join(near, ["conv", "passage", "at"], "left"), first, "passage", F.col("message"), quotes.count(), "left")
     far = F.when(F.col("first.message") != F.col("message"), F.col("first.message"))
     parent = F.coalesce("near.message", far)
     ranked = F.struct(F.col("near").isNull().alias("far"), "level", "number", parent.alias("parent"))
@@ -167,29 +168,32 @@ def link_quotes(df: DataFrame, conversation: str = "conv_id", turn: str = "turn"
         F.count("*").alias("n_quoted"), F.count(parent).alias("n_linked"), F.min(F.when(parent.isNotNull(), ranked)).alias("best")
     )
     places = once.select(F.col("message").alias("parent"), F.col("conv_id").alias("parent_conv"), F.col("turn").alias("parent_turn"))
-    links = durable(links.select("message", "n_quoted", "n_linked", F.col("best.parent").alias("parent")).join(places, "parent", "left"))
+    links = durable(links.select("message", "n_quoted", "n_linked", F.col("best.parent").alias("parent")))
+    links = durable(salted_join(links, places, "parent", F.col("message"), links.count(), "left"))
 
     roots = thread_roots(links.join(once.select("message", "conv_id", "turn"), "message"))
-    out = m.drop("text").join(once.select("message", "body"), "message")
-    out = out.join(links.drop("parent"), "message", "left").join(roots, "message", "left")
+    copies = m.groupBy("conv_id", "turn", "role", "message").agg(F.count("*").alias("copies"))
+    out = copies.join(once.select("message", "body"), "message").join(links.drop("parent"), "message", "left").join(roots, "message", "left")
     out = out.select(
         "conv_id", "turn", "role", "body",
         F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        "parent_conv", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), "message",
+        "parent_conv", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), "message", "copies",
     )
-    out = out.withColumn("bucket", F.floor(F.col("root_turn") / TURNS_PER_BUCKET))
-    out = number_rows(out, ["conv_id"], "bucket", ["root_turn", "turn", "role", "message"], "position")
-    return out.drop("bucket", "message")
+    out = number_by_ranges(out, ["conv_id"], ["root_turn", "turn", "role", "message"], "copies", "first_position")
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+    out = out.select("*", copy).withColumn("position", F.col("first_position") + F.col("copy"))
+    return out.drop("message", "copies", "first_position", "copy")
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
     """message, root_turn of messages whose parent is earlier in their conversation, by pointer doubling."""
     own = F.col("parent_conv").eqNullSafe(F.col("conv_id")) & (F.coalesce("parent_turn", F.lit(-1)) < F.coalesce("turn", F.lit(-1)))
     up = durable(links.where(own).select("message", F.col("parent").alias("root"), F.col("parent_turn").alias("root_turn")))
+    rows = up.count()
     while True:
         above = up.select(F.col("message").alias("root"), F.col("root").alias("next"), F.col("root_turn").alias("next_turn"))
         known = F.col("next").isNotNull()
-        moved = up.join(above, "root", "left").select(
+        moved = salted_join(up, above, "root", F.col("message"), rows, "left").select(
             "message", F.coalesce("next", "root").alias("root"), F.when(known, F.col("next_turn")).otherwise(F.col("root_turn")).alias("root_turn"), known.alias("moved")
         )
         moved = durable(moved)

@@ -5,7 +5,8 @@ import random
 import re
 import textwrap
 
-from seamline.llm import quotes
+from seamline.llm import quotes, skew
+from seamline.llm.ranking import number_by_ranges
 
 WORDS = ("the table of rows sort merge spill disk why how yes no large small query plan join hash key value stream window "
          "night river stone cloud paper green seven letters under above never again today").split()
@@ -102,7 +103,7 @@ def link(rows):
             near = [n for n in holds if messages[n][0] == conv and at(n) < at(name)]
             if near:
                 found.append((False, level, number, max(near, key=lambda n: (at(n), n))))
-            elif holds and len(words) >= quotes.FAR_CHARS and (first := min(holds, key=nulls_first)) != name:
+            elif holds and (first := min(holds, key=nulls_first)) != name:
                 found.append((True, level, number, first))
         best = min(found)[3] if found else None
         out[name] = (len(passages), len(found), messages[best][0] if best else None, messages[best][1] if best else None)
@@ -133,4 +134,32 @@ def test_partial_quotes(spark):
     ]
     got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert (got[1, 1].n_linked, got[1, 1].parent_turn, got[1, 1].body) == (1, 0, "Buy more.")
-    assert (got[1, 2].n_linked, got[1, 2].parent_turn) == (1, 0) and got[2, 0].n_linked == 0
+    assert (got[1, 2].n_linked, got[1, 2].parent_turn) == (1, 0)
+    assert (got[2, 0].n_linked, got[2, 0].parent_conv, got[2, 0].parent_turn) == (1, 1, 0)
+
+
+def test_a_million_marks(spark):
+    rows = [(1, 0, "user", "Deep words here."), (1, 1, "user", ">" * 1_000_000 + " Deep words here.\nSo deep."), (1, 2, "user", "> " * 500_000 + "x"), (1, 3, "user", " \t" * 500_000 + "> deep")]
+    got = {r.turn: r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].body, got[1].n_quoted, got[1].n_linked, got[1].parent_turn) == ("So deep.", 1, 1, 0)
+    assert got[2].n_quoted == 1 and got[2].body == "" and got[3].n_linked == 1
+
+
+def test_hot_passage_thread_and_turn(spark, monkeypatch):
+    """One passage quoted by a third of all rows, one thread with as many replies, as many rows without a turn."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    rows = [(1, 0, "user", "The quoted words.")] + [(1, k, "user", f"> The quoted words.\nReply {k}.") for k in range(1, 400)]
+    rows += [(2, None, "user", f"Without a turn {k % 50}. The quoted words.") for k in range(400)] + [(3, k, "user", f"Other {k}.") for k in range(400)]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).collect()
+    for conv, n in ((1, 400), (2, 400), (3, 400)):
+        assert sorted(r.position for r in got if r.conv_id == conv) == list(range(1, n + 1))
+    assert all((r.parent_conv, r.parent_turn, r.root_turn, r.position) == (1, 0, 0, r.turn + 1) for r in got if r.conv_id == 1 and r.turn)
+    without = sorted((r.position, r.body) for r in got if r.conv_id == 2)
+    assert len({body for _, body in without}) == 50 and all(without[k][1] == without[k + 1][1] for k in range(0, 400, 8))
+
+
+def test_numbering_by_ranges(spark):
+    rows = [(g, o, n) for g in (None, "a", "b") for o, n in ((None, 2), (1, 1), (5, 3), (9, 1))]
+    df = spark.createDataFrame(rows, "g string, o long, n long").repartition(4)
+    got = {(r.g, r.o): r.place for r in number_by_ranges(df, ["g"], ["o"], "n", "place").collect()}
+    assert got == {(g, o): p for g in (None, "a", "b") for o, p in ((None, 1), (1, 3), (5, 4), (9, 7))}
