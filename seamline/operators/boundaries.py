@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.functions.arrays import let, offsets_of_lengths, running_sums
+from seamline.operators.scans import scan
 
 TOLERANCES = (0, 1, 2, 4, 8)
 
@@ -21,21 +22,17 @@ def cut_offsets(text: Column, separator: str, before: bool = False) -> Column:
 
 
 def trace_offsets(events: DataFrame, key: str, order: list[str], length: str) -> DataFrame:
-    """``events`` with step_index, generated_length (the sum of earlier lengths) and offset (with its own)."""
-    w = Window.partitionBy(key).orderBy(*order)
+    """``events`` with step_index, generated_length (the sum of earlier lengths) and offset (with its own). Hot keys are spread."""
     size = F.greatest(F.col(length), F.lit(0))
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (
-        events.withColumn("step_index", F.row_number().over(w) - 1)
-        .withColumn("generated_length", before)
-        .withColumn("offset", F.col("generated_length") + size)
-    )
+    out = scan(events, key, order, {"step_index": F.lit(1).cast("long"), "generated_length": size})
+    return out.withColumn("offset", F.col("generated_length") + size)
 
 
 def drop_terminal(events: DataFrame, key: str, offset: str = "offset") -> DataFrame:
     """Without all rows whose offset is the greatest of their key."""
-    last = F.max(offset).over(Window.partitionBy(key))
-    return events.withColumn("last_offset", last).where(F.col(offset) < F.col("last_offset")).drop("last_offset")
+    last = events.groupBy(F.col(key).alias("key_of_last")).agg(F.max(offset).alias("last_offset"))
+    joined = events.join(last, events[key].eqNullSafe(last["key_of_last"]))
+    return joined.where(F.col(offset) < F.col("last_offset")).drop("last_offset", "key_of_last")
 
 
 def expand_history(records: DataFrame, key: str, history: str, prompt_length: Column | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.operators.boundaries import ratio
+from seamline.operators.ordering import with_ordinal
 
 MISSING, UNBOUNDED = -1.0, 1e12
 
@@ -85,8 +86,8 @@ def gate(df: DataFrame, precision: Column, rate_ratio: Column, least: float = 0.
 
 
 def ranked(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame:
-    """A total order by ``keys``; meant for leaderboards, whose rows are aggregates."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)))
+    """``df`` with places from 1 in the total order of ``keys``; rows are dealt by range, so that no task sorts them all."""
+    return with_ordinal(df, keys, name).withColumn(name, F.col(name) + 1)
 
 
 def delta_to(df: DataFrame, name: str, reference: str, value: str) -> DataFrame:

@@ -28,7 +28,7 @@ def first_keys(df: DataFrame, key: str, order: str, count: int) -> DataFrame:
 
 
 def rows_of_first_keys(df: DataFrame, key: str, order: str, count: int) -> DataFrame:
-    return df.join(F.broadcast(first_keys(df, key, order, count).select(key)), key, "left_semi")
+    return df.join(first_keys(df, key, order, count).select(key), key, "left_semi")
 
 
 def cap_per_group(df: DataFrame, group: list[str], order: list, most: int, name: str = "rank") -> DataFrame:
@@ -46,14 +46,14 @@ def round_robin(df: DataFrame, strata: list[str], order: str, count: int) -> Dat
     turns = cap_per_group(df, strata, [order], count, "turn")
     same = [turns[s].eqNullSafe(seen[s]) for s in strata]
     picked = turns.join(seen, same).select(turns["*"], "stratum_order").orderBy("turn", "stratum_order", order).limit(count)
-    place = F.row_number().over(Window.orderBy("turn", "stratum_order", order)).cast("long")
-    return picked.withColumn("position", place).drop("turn", "stratum_order")
+    placed = with_ordinal(picked, ["turn", "stratum_order", order], "position")
+    return placed.withColumn("position", F.col("position") + 1).drop("turn", "stratum_order")
 
 
 def last_keys_split(df: DataFrame, key: str, order: Column, count: int) -> DataFrame:
     """``df`` with ``split``: "valid" for the last ``count`` distinct keys by first sight, else "train"."""
     last = df.groupBy(key).agg(F.min(order).alias("first_seen")).orderBy(F.desc("first_seen"), F.desc(key)).limit(count)
-    marked = df.join(F.broadcast(last.select(key, F.lit(True).alias("is_last"))), key, "left")
+    marked = df.join(last.select(key, F.lit(True).alias("is_last")), key, "left")
     return marked.withColumn("split", F.when(F.col("is_last"), "valid").otherwise("train")).drop("is_last")
 
 

@@ -37,7 +37,7 @@ def bottom_k(df: DataFrame, digest: Column, tie: str, count: int, group: list[st
     if group:
         return cap_per_group(marked, group, ["digest", tie], count)
     picked = marked.orderBy("digest", tie).limit(count)
-    return picked.withColumn("rank", F.row_number().over(Window.orderBy("digest", tie)))
+    return with_ordinal(picked, ["digest", tie], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def largest_remainder(total: int, weights: list[int | float]) -> list[int]:

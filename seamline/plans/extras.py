@@ -12,6 +12,7 @@ from seamline.functions import text as X
 from seamline.operators import boundaries as B
 from seamline.operators import corpora, ordering, summaries
 from seamline.operators import predicates as P
+from seamline.operators.scans import scan
 from seamline.session import table
 from seamline.streaming import state
 
@@ -88,8 +89,7 @@ def q64_revisit_plans(spark, sf: str) -> DataFrame:
     """How far back each block of a user's trace reopens, gated by the mark of the event before."""
     e = table(spark, sf, "events").select("event_id", "user_id", (F.floor(F.abs("value")) % 32 + 1).alias("block_length"), F.when(F.col("event_type") == "purchase", 0.25).otherwise(0.75).alias("gate"))
     t = B.trace_offsets(e, "user_id", ["event_id"], "block_length")
-    before = F.coalesce(F.lag("gate").over(Window.partitionBy("user_id").orderBy("event_id")), F.lit(0.0))
-    t = t.withColumn("before", before)
+    t = scan(t, "user_id", ["event_id"], before={"before": F.col("gate")}).fillna(0.0, ["before"])
     plan = state.revisit_plan(F.lit(10), (F.col("generated_length") + 10).cast("int"), (F.col("offset") + 10).cast("int"), F.lit(8), F.col("before"))
     return t.select("event_id", plan.alias("p")).select("event_id", F.col("p.revisit_start").cast("long").alias("revisit_start"), F.col("p.overlap_tokens").cast("long").alias("overlap_tokens"), "p.carry_gate")
 

@@ -15,10 +15,7 @@ from seamline.operators import sampling
 from seamline.plans.boundaries import TRACE
 from seamline.session import shared_folder, table
 from seamline.sources.sinks import enriched
-from seamline.streaming import state
-
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from seamline.streaming import state, versions
 
 #: Literal code and solutions for the kernels; the driver's tables hold none.
 CODE = [
@@ -37,18 +34,11 @@ SOLUTIONS = [
 
 def q45_kv_state_stream(spark, sf: str) -> DataFrame:
     """Running offsets of ``events`` as a stream with keyed state, run to its end."""
-    schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
     events = events.select("event_id", "user_id", (F.floor(F.abs("value")) % 32 + 1).alias("block_length"))
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
-        query = state.stream_offsets(events).writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
-        query.awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, before)
-    return spark.read.schema(state.OFFSETS).parquet(path)
+    versions.run_to_end(events, versions.offsets_sink(folder, "user_id", "event_id", "block_length", state.OFFSETS), f"{folder}/checkpoint")
+    return versions.results_of(spark, f"{folder}/results", state.OFFSETS)
 
 
 def q46_python_phase_spans(spark, sf: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.functions import answers as M
@@ -10,6 +10,7 @@ from seamline.functions import arrays as A
 from seamline.functions import text as X
 from seamline.operators import boundaries as B
 from seamline.operators import metrics, rules
+from seamline.operators.scans import scan
 from seamline.session import table
 
 LANGS = ["de", "en", "es", "fr", "it"]
@@ -130,7 +131,7 @@ def q34_delta_vs_reference(spark, sf: str) -> DataFrame:
     """Order totals by customers' nation against those of the first nation."""
     o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
     per = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t")).join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("t").alias("t"))
-    per = n.join(F.broadcast(per), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    per = n.join(per, F.col("n_nationkey") == F.col("c_nationkey"), "left")
     first = n.orderBy("n_nationkey").first()["n_name"]
     out = metrics.delta_to(per.select("n_name", F.round("t", 2).alias("revenue")), "n_name", first, "revenue")
     return out.withColumn("delta", F.round("delta", 2))
@@ -194,7 +195,7 @@ def q40_numeric_margin(spark, sf: str) -> DataFrame:
     """Orders' totals guessed by the mean of their priority."""
     o = table(spark, sf, "orders")
     mean = o.groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 2).alias("guess"))
-    j = o.join(F.broadcast(mean), "o_orderpriority")
+    j = o.join(mean, "o_orderpriority")
     return j.select("o_orderkey", F.round(M.margin_score(F.col("o_totalprice"), F.col("guess")), 6).alias("score"))
 
 
@@ -215,8 +216,7 @@ SELECT l_orderkey, k AS best_delta FROM (SELECT *, row_number() OVER (PARTITION
 def q42_carry_cosine(spark, sf: str) -> DataFrame:
     """Similarity of each vector to the one before it with the same label."""
     e = table(spark, sf, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    before = e.withColumn("before", F.lag("embedding").over(w)).where("before is not null")
+    before = scan(e, "label", ["vec_id"], before={"before": F.col("embedding")}).where("before is not null")
     return before.select("vec_id", F.round(A.cosine(F.col("before"), F.col("embedding")), 6).alias("similarity"))
 
 

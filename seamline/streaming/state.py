@@ -9,18 +9,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from seamline.functions.arrays import cosine, let
+from seamline.operators.scans import scan
 
 OFFSETS = "event_id BIGINT, user_id BIGINT, step_index BIGINT, block_length BIGINT, generated_length BIGINT, `offset` BIGINT"
 
 
 class RunningOffsets(StatefulProcessor):
-    """Numbers a key's blocks and sums their lengths, across batches. Rows of a batch go by event id."""
+    """Numbers a key's blocks and sums their lengths, across batches. Rows of a batch go by event id.
+
+    A task holds a key's rows of one batch; ``versions.offsets_sink`` does not, and takes hot keys.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.total = handle.getValueState("total", StructType([StructField("steps", LongType()), StructField("generated", LongType())]))
@@ -48,11 +52,10 @@ def carry_scores(df: DataFrame, key: str, order: str, scores: str, summaries: st
     """Candidate scores plus weight times the gate score before, times likeness to the summary before.
 
     ``scores``: an array; ``summaries``: one vector a score; ``summary`` and ``gate``: what the row hands
-    on. First rows and a weight of 0 leave scores as they are; a negative gate counts 0.
+    on. First rows and a weight of 0 leave scores as they are; a negative gate counts 0. Hot keys are spread.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    before, strength = F.lag(summary).over(w), F.greatest(F.lag(gate).over(w), F.lit(0.0)) * weight
-    df = df.withColumns({"summary_before": before, "carry_strength": strength})
+    df = scan(df, key, [order], before={"summary_before": F.col(summary), "carry_strength": F.col(gate)})
+    df = df.withColumn("carry_strength", F.greatest("carry_strength", F.lit(0.0)) * weight)
 
     def lifted(s: Column, v: Column) -> Column:
         return s + F.coalesce(cosine(v, F.col("summary_before")), F.lit(0.0)) * F.col("carry_strength")
