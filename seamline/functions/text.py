@@ -32,6 +32,10 @@ def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, rx(r"\s+$"), "")
 
 
+def lstrip(c: Column) -> Column:
+    return F.regexp_replace(c, rx(r"^\s+"), "")
+
+
 def is_blank(c: Column) -> Column:
     return ~c.rlike(rx(r"\S"))
 

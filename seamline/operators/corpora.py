@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from seamline.functions import text as X
 from seamline.functions.kernels.code import segmented_code
-from seamline.functions.kernels.maths import detokenized, math_segments
+from seamline.functions.kernels.maths import detokenized
+from seamline.functions.maths import math_segments
 from seamline.operators.predicates import is_kept, math_keep_reason
 from seamline.operators.sampling import bottom_k, ratio_split, stable_split
 from seamline.session import durable

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seamline.functions import arrays as A
 from seamline.functions import records as R
 from seamline.functions import text as X
-from seamline.functions.kernels.actions import actions
+from seamline.functions.kernels.actions import with_actions
 from seamline.functions.prompts import token_count
 
 #: Sources with rules of their own, the one that stands in for others, and the deltas in order of class.
@@ -30,7 +30,7 @@ def oracle_documents(df: DataFrame, tokens: Callable[[Column], Column] = token_c
     ``tokens`` counts those of a text. Blocks end at ``most`` tokens in all; steps and their boundary types
     are as many as blocks. A null or blank solution has none.
     """
-    steps = df.withColumn("solution_text", X.repair_latex(F.col("solution_text"))).withColumn("segments", F.coalesce(actions(F.col("solution_text")), A.empty("string")))
+    steps = with_actions(df.withColumn("solution_text", X.repair_latex(F.col("solution_text"))), "solution_text", "segments")
     source = F.when(F.col("source_dataset").isin(*KNOWN), F.col("source_dataset")).otherwise(STAND_IN)
     typed = steps.withColumns({
         "segment_boundary_types": X.boundary_types(F.col("segments"), source, F.lit(None).cast("array<string>"), F.lit(False)),

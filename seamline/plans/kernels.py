@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from seamline.functions import answers as M
 from seamline.functions import arrays as A
 from seamline.functions import text as X
-from seamline.functions.kernels import code, maths, phases
+from seamline.functions import maths
+from seamline.functions.kernels import code, phases
 from seamline.operators import sampling
 from seamline.plans.boundaries import TRACE
 from seamline.session import shared_folder, table

@@ -15,7 +15,7 @@ def test_actions():
     assert K.paired("Find the sum:", "2 + 3 = 5") == "sum: 2 + 3 = 5"
     assert K.narrated("The bill came out to $5") == "bill: $5" and K.narrated("So he made a profit of $9") == "profit: $9" and K.narrated("Answer: 3") == "Answer: 3"
     assert K.folded(["a)", "x", "(y)", "b."]) == ["a) x (y) b."]
-    assert K.action_segments("Find the sum:\n2 + 3 = 5\nThe bill came out to $5") == ["sum: 2 + 3 = 5", "bill: $5"]
+    assert K.action_segments(["Find the sum:", "2 + 3 = 5", "The bill came out to $5"]) == ["sum: 2 + 3 = 5", "bill: $5"]
     assert K.code_boundary("x = 1\nreturn x") == 6 and K.code_boundary("  a\nb") == 4 and K.code_boundary("a\nb") == -1
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from seamline.functions import answers as M
 from seamline.functions import arrays as A
 from seamline.functions import text as X
+from seamline.functions import maths as native_maths
 from seamline.functions.kernels import code, maths, phases
+from tests import plain_maths
 
 ALPHABET = list("ab  AZ19.,:;!?\n\t$\\(){}=+-") + ["\u00a0", "é", "😀", "\r\n", "\n\n", "Then ", "so ", "= 3", "answer: "]
 
@@ -26,11 +28,11 @@ def apply(spark, expression, values, kind="string"):
 
 
 @pytest.mark.parametrize(("native", "plain"), [
-    (X.normalize_newlines, maths.unix), (X.strip, str.strip),
-    (X.normalize_whitespace, lambda t: re.sub(r"[ \t]+", " ", maths.unix(t)).strip()),
-    (X.normalize_math_paragraph, maths.squeezed), (X.is_final_answer, maths.final_answer), (X.is_math_structure, maths.structure),
-    (X.is_reasoning_step, maths.step), (X.reasoning_clauses, lambda t: [p for p in maths.clauses(t)]),
-    (X.sentences_of_paragraph, lambda t: maths.pieces(maths.SENTENCE, t)), (X.nonblank_lines, lambda t: sum(bool(x.strip()) for x in t.split("\n"))),
+    (X.normalize_newlines, plain_maths.unix), (X.strip, str.strip),
+    (X.normalize_whitespace, lambda t: re.sub(r"[ \t]+", " ", plain_maths.unix(t)).strip()),
+    (X.normalize_math_paragraph, plain_maths.squeezed), (X.is_final_answer, plain_maths.final_answer), (X.is_math_structure, plain_maths.structure),
+    (X.is_reasoning_step, plain_maths.step), (X.reasoning_clauses, lambda t: [p for p in plain_maths.clauses(t)]),
+    (X.sentences_of_paragraph, lambda t: plain_maths.parts_of(plain_maths.SENTENCE, t)), (X.nonblank_lines, lambda t: sum(bool(x.strip()) for x in t.split("\n"))),
     (X.csv_set, lambda t: list(dict.fromkeys(x.strip().lower() for x in t.split(",") if x.strip()))),
 ])
 def test_native_equals_plain(spark, native, plain):
@@ -130,7 +132,31 @@ def test_phases():
     assert [s[1:3] for s in phases.label("s = 'é😀'; t = int(s)")[0]][-1] == (10, 20)
 
 
-def test_math_segments():
-    assert maths.segment_math("First a. Then b = 2.\n\nTherefore\n\nx = 3") == ["First a.", "Then b = 2.", "Therefore\nx = 3"]
-    assert maths.segment_math("") == [] and maths.segment_math("$$\na\n$$") == ["$$\na\n$$"]
+BITS = [
+    "$$", "$", "\\[", "\\]", "\\begin{align}", "\\end{align}", "\\begin{a} x", "Then", "thus,", "So that:", "x = 3", "We have 2+2=4. Then it is 5", "No step here, so maybe not",
+    "a, which is 3 = 3", "Next b", "$$ Next we see. $$ A b", "$$(x) y", "end. $$ Then $$Q", "\n", "\n \n", " ", "#### 5", "Answer: 4", "\\boxed{3}", "i.e. A", "Hence 3 > 2 Therefore 4",
+    "\x0b", "\u2028", "  tail  ", "Finally", "\r\n", "{1}", "\\end{b}", "\u00e9: Ok", "12",
+]
+
+
+def test_math_segments(spark):
+    r = random.Random(8)
+    values = ["".join(r.choice(BITS) + r.choice(["", " ", "\n", "\n", "\n\n"]) for _ in range(r.randrange(1, 14))) for _ in range(2_000)]
+    values += ["", None, " \n ", "$$\na\n$$", "$$", "First a. Then b = 2.\n\nTherefore\n\nx = 3", "x = 1\n" * 20_000]
+    got = apply(spark, native_maths.math_segments, values)
+    assert got == [[] if v is None else plain_maths.segment_math(v) for v in values]
+    assert got[-2] == ["First a.", "Then b = 2.", "Therefore\nx = 3"] and got[-4] == ["$$\na\n$$"]
+
+
+def test_step_predicates_of_kernels():
+    for v in texts(600):
+        assert maths.final_answer(v) == plain_maths.final_answer(v) and maths.step(v) == plain_maths.step(v), v
+
+
+def test_detokenize():
     assert maths.detokenize(["Hello", ",", "world", "(", "it", "'s", "fine", ")", "."]) == "Hello, world (it's fine)."
+
+
+def test_documents_as_mathematical_prose(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", native_maths.math_segments(F.col("text")).alias("s")).collect()
+    assert all(r.s == plain_maths.segment_math(r.text or "") for r in docs)
