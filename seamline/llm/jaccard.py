@@ -431,7 +431,8 @@ def jaccard_components(df: DataFrame, key: str, text: str, words: int = 5, perce
     enough = F.coalesce(F.col("singles"), F.lit(0)) >= _prefix_length(F.col("n"), percent)
     members = durable(members.join(singles, "member", "left").select("member", "one", "copies", "check", "several", enough.alias("alone")))
     # Members that share a short name are told apart from here on, and take part in all comparisons.
-    shared = facts.join(F.broadcast(members.where("several").select("member")), "member").groupBy("member", "check")
+    several = members.where("several").select("member")
+    shared = facts.join(F.broadcast(several) if fits_broadcast(several) else several, "member").groupBy("member", "check")
     shared = shared.agg(F.min("key").alias("one"), F.count("*").alias("copies"))
     twins = durable(shared.select("member", "check", "one", "copies", F.xxhash64("member", "check").alias("node")))
     open_ = members.where(~F.col("alone") & ~F.col("several")).select("member", "check", "one", F.col("member").alias("node"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.llm.ranking import number_rows
-from seamline.llm.skew import fits_broadcast
+from seamline.llm.skew import fits_broadcast, salted_join
 from seamline.llm.words import word_count
 from seamline.session import durable
 
@@ -137,7 +137,7 @@ def mix(rows: DataFrame, key: str, source: Column, size: Column, share: float =
     """``row`` (a struct of all columns of ``rows``), source, size, source_size, target, copies (0, 1 or 2).
 
     Nulls in ``source`` are one source, the last; documents of size 0 count for nothing and are kept
-    once. Rows repeated with the same key are documents of their own. Two runs give the same rows: which
+    once, or twice in a source whose target is twice its size. Rows repeated with the same key are documents of their own. Two runs give the same rows: which
     of a size get one copy more is drawn by hash of the key, among rows of one key by hash of all columns
     (but maps), so that only equal rows tie. ``rows`` is read twice.
     """
@@ -154,9 +154,13 @@ def mix(rows: DataFrame, key: str, source: Column, size: Column, share: float =
     named = classes.select("source_no", "source").distinct().join(goals.select("source_no", "source_size", "target"), "source_no")
     copies = durable(copies.join(named, "source_no").withColumnsRenamed({"source": "s", "size": "z"}))
 
-    few = fits_broadcast(copies)
-    same = F.col("source").eqNullSafe(F.col("s")) & F.col("size").eqNullSafe(F.col("z"))
-    placed = rows.join(F.broadcast(copies) if few else copies, same).drop("s", "z")
+    if fits_broadcast(copies):
+        placed = rows.join(F.broadcast(copies), F.col("source").eqNullSafe(F.col("s")) & F.col("size").eqNullSafe(F.col("z"))).drop("s", "z")
+    else:
+        spot = lambda source, size: F.concat(F.coalesce(F.concat(F.lit("="), source), F.lit("")), F.lit("|"), F.col(size))
+        kinds = copies.withColumn("spot", spot(F.col("s").cast("string"), "z")).drop("s", "z")
+        spots = rows.withColumn("spot", spot(F.col("source").cast("string"), "size"))
+        placed = salted_join(spots, kinds, "spot", F.col("whole"), rows.count()).drop("spot")
     out = ["row", "source", "size", "source_size", "target"]
     fixed = (F.col("extra") == 0) | (F.col("extra") == F.col("n"))
     sure = placed.where(fixed).select(*out, (F.col("base") + (F.col("extra") > 0).cast("long")).alias("copies"))

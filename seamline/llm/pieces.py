@@ -312,7 +312,9 @@ def tokenised(df: DataFrame, text: str, keep: list[str], model: str = DEFAULT_MO
 
     n_pieces, n_byte_pieces, best_score, next_score (of the second best; null if there is none), ids_sha256
     (little-endian 32-bit ids), exact (decoding gave the text back, from every segmentation); n_best_scores
-    and n_best_sha256 of all segmentations, best first.
+    and n_best_sha256 of all segmentations, best first. Null and empty texts have one empty segmentation; texts of any
+    length are searched whole; equal scores go by ids; repeated rows are searched each; an empty table gives no rows;
+    columns of ``keep`` with the name of a result are replaced by it.
     """
     fields = (
         "n_pieces bigint, n_byte_pieces bigint, best_score double, next_score double, ids_sha256 string, exact boolean, "

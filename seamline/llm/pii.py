@@ -1,4 +1,4 @@
-"""Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
+"""Personal data: patterns propose spans, checksums confirm them, context words raise or lower the score.
 
 DataFrame operations only. Each pattern's matches and the pieces of text between them come from two
 passes of the same regular expression; lengths of both, summed up, are the spans' offsets in code points.
@@ -20,9 +20,13 @@ CONTEXT = 40
 KEEP_SCORE = 0.5
 
 
+#: Words that say that a number is something else.
+OTHER_NUMBERS = r"\b(?:order|invoice|ticket|part|serial|model|product|article|version|tracking|sku|isbn|ref)\b"
+
+
 @dataclass(frozen=True)
 class Kind:
-    """A kind of personal data. Base kinds keep every match that the validator confirms."""
+    """A kind of personal data. Base kinds keep every match that the validator confirms; others need their score."""
 
     name: str
     pattern: str
@@ -31,6 +35,7 @@ class Kind:
     score: float
     context: str
     tag: str
+    against: str = OTHER_NUMBERS
 
 
 #: In the order of listing. ``hint``: a character without which there is no match.
@@ -39,7 +44,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", ".", True, 0.6, r"\bip\b|address|host|server", "<IP>"),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])", None, True, 0.8, r"card|visa|credit|debit", "<CARD>"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True, 0.6, r"phone|tel|mobile|call|fax", "<PHONE>"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None, False, 0.7, r"iban|bank|account|konto", "<IBAN>"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None, False, 0.6, r"iban|bank|account|konto", "<IBAN>"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", False, 0.3, r"ssn|social security", "<SSN>"),
 )
 CONTEXT_STEP = 0.2
@@ -106,8 +111,8 @@ def spans_of(kind: Kind, rank: int, pieces: Column, found: Column, starts: Colum
     def span(x: Column, i: Column) -> Column:
         start = F.get(starts, i)
         around = F.concat_ws(" ", F.right(F.get(pieces, i), F.lit(CONTEXT)), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)))
-        near = F.lower(around).rlike(kind.context)
-        score = F.lit(kind.score) + F.when(near, F.lit(CONTEXT_STEP)).otherwise(0.0)
+        near = lambda words: F.lower(around).rlike(words).cast("double") * CONTEXT_STEP
+        score = F.round(F.lit(kind.score) + near(kind.context) - near(kind.against), 3)
         return F.struct(
             start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x)).alias("end"), F.lit(kind.name).alias("kind"),
             x.alias("match"), score.alias("score"), F.lit(kind.base).alias("base"), confirmed(kind, x).alias("confirmed"),
@@ -179,7 +184,7 @@ def redact(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn(text, F.when(some, cut_spans(F.col(text), F.col(spans))).otherwise(F.col(text)))
     for name in TAG_ORDER:
         kind = next(k for k in KINDS if k.name == name)
-        if kind.score >= KEEP_SCORE:
+        if kind.base:
             df = df.withColumn(text, F.when(some, replace_matches(kind, F.col(text))).otherwise(F.col(text)))
     return df.select(*columns)
 
@@ -199,7 +204,11 @@ def digest(spans: Column) -> Column:
 
 
 def pii_report(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, counts of the base kinds, base_sha256, spans. Repeated rows stay; null and empty texts have none."""
+    """key, counts of the base kinds, base_sha256, spans, scores (of the spans in order).
+
+    Repeated rows stay; null and empty texts have no spans; texts of any length are read whole; an empty table gives no
+    rows; spans that begin together go by kind; other columns do not matter, whatever they are called.
+    """
     found = find_spans(df.select(F.col(key), F.col(text).alias("text_of_row")), "text_of_row", "pii_of_row")
     spans = F.col("pii_of_row")
     base = F.filter(spans, lambda s: s["base"])
@@ -208,7 +217,8 @@ def pii_report(df: DataFrame, key: str, text: str) -> DataFrame:
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(
-        key, *[count(k.name) for k in KINDS if k.base], F.sha2(digest(base), 256).alias("base_sha256"), digest(spans).alias("spans")
+        key, *[count(k.name) for k in KINDS if k.base], F.sha2(digest(base), 256).alias("base_sha256"), digest(spans).alias("spans"),
+        F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
 

@@ -25,7 +25,10 @@ _held: dict = {}
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches are small enough for texts; a smaller setting is left."""
+    """``df``, in a session whose Arrow batches are small enough for texts; a smaller setting is left.
+
+    The setting stays: it is read when a plan runs, which may be long after this. It bounds memory and changes no result.
+    """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(BATCH_SETTING)) <= ROWS_PER_BATCH:
         conf.set(BATCH_SETTING, str(ROWS_PER_BATCH))
