@@ -1,5 +1,8 @@
 """Block lengths from windows of tokens."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,3 +34,34 @@ def test_parts(spark):
     assert P.bucket_ranges() == [(0, 49), (50, 99), (100, 163)]
     with pytest.raises(ValueError):
         P.bucket_ranges([(5, 2)])
+
+
+def plain_first(tokens, pattern):
+    return next((i for i in range(1, len(tokens) + 1) if re.search(pattern, "".join(tokens[:i]))), None)
+
+
+def test_rules_equal_all_beginnings(spark):
+    """Each rule against its pattern on every beginning of windows whose tokens cut words, marks and connectives."""
+    r = random.Random(4)
+    bits = ["so", "me", " so", "al", "We", " have", "we hav", "e", " it", " follows", "<", "<<", "2+2", ">", ">>", "#", "##", ".", "?", " ", "\n", ",", ";", "x", " there", "fore", "\nde", "f", "ault", "  a", "return", "\n ", "", "Thus", "hence "]
+    windows = [[r.choice(bits) for _ in range(r.randrange(0, 12))] for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(windows)), "i int, t array<string>")
+    none = F.lit(-1)
+    got = df.select("i", P.sentence_length(F.col("t"), none).alias("s"), P.step_length(F.col("t"), none).alias("m"), P.code_length(F.col("t"), none).alias("c")).collect()
+    connective = rf"(?i)\b(?:{P.CONNECTIVES})\b"
+    code = rf"\n[^\S\n]*(?:{P.CODE_WORDS})\b|(?:^|\n)[^\S\n][^\n]*\n\S"
+    for x in got:
+        t = windows[x.i]
+        s = plain_first(t, P.SENTENCE) or plain_first(t, P.CLAUSE) or -1
+        k = plain_first(t, connective)
+        if k and re.match(connective, "".join(t[:k])):
+            k = None
+        m = min([p for p in (plain_first(t, P.MARKER), k, plain_first(t, "\n")) if p], default=-1)
+        assert (x.s, x.m, x.c) == (s, m, plain_first(t, code) or -1), t
+
+
+def test_first_tokens(spark):
+    values = [None, "", "  ", " a b\n c ", "one", "w " * 200_000, " " * 500_000 + "x y"]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    got = {r.i: r.t for r in df.select("i", P.first_tokens(F.col("v"), 2).alias("t")).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [" a", " b"], 4: ["one"], 5: ["w", " w"], 6: [" " * 500_000 + "x", " y"]}
