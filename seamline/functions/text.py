@@ -82,9 +82,8 @@ def sentences_of_paragraph(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Sentences of all paragraphs; a paragraph that yields none stays whole."""
-    parts = stripped_parts(paragraphs(normalize_whitespace(c)))
-    return F.flatten(F.transform(parts, lambda p: F.when(F.size(sentences_of_paragraph(p)) > 0, sentences_of_paragraph(p)).otherwise(F.array(p))))
+    """Sentences of all paragraphs; a paragraph has one at least."""
+    return F.flatten(F.transform(stripped_parts(paragraphs(normalize_whitespace(c))), sentences_of_paragraph))
 
 
 def normalize_math_paragraph(c: Column) -> Column:
@@ -152,28 +151,26 @@ def task_family(source: Column) -> Column:
 
 
 def boundary_types(segments: Column, source: Column, cell_types: Column, has_docstring: Column) -> Column:
-    """Labels of each segment's boundary, by family, position and cell type. Blank segments go first."""
-    parts, family = filled(segments), task_family(source)
-    last = F.size(parts) - 1
+    """Labels of each segment's boundary, by family, position and cell type. Blank segments go first.
+
+    A docstring alone changes no label: code that opens with one has an inner boundary there, as other text has.
+    """
     inner, commit, final = F.lit("internal_step_boundary"), F.lit("safe_commit_boundary"), F.lit("final_answer_anchor")
 
-    def labels(s: Column, i: Column) -> Column:
-        kind = F.lower(strip(F.coalesce(F.get(cell_types, i), F.lit(""))))
-        code = F.filter(
-            F.array(
-                F.when((i == 0) & F.coalesce(has_docstring, F.lit(False)) & ~is_code(s), inner),
-                F.when((i > 0) | is_code(s), commit),
-            ),
-            lambda x: x.isNotNull(),
-        )
+    def labels(of: Column, s: Column, i: Column) -> Column:
+        family = of["family"]
+        kind = F.lower(strip(F.coalesce(F.get(of["cells"], i), F.lit(""))))
+        ends = is_final_answer(s) | ((i == F.size(of["parts"]) - 1) & is_reasoning_step(s))
         return (
-            F.when(family == "code", F.when(F.size(code) > 0, code).otherwise(F.array(inner)))
+            F.when(family == "code", F.array(F.when((i > 0) | is_code(s), commit).otherwise(inner)))
             .when(family == "notebook", F.array(F.when(is_final_answer(s), final).when((kind == "code") | is_code(s), commit).otherwise(inner)))
-            .when(family == "formal_math", F.array(F.when(is_final_answer(s) | ((i == last) & is_reasoning_step(s)), final).otherwise(inner)))
-            .otherwise(F.when(is_final_answer(s), F.array(inner, final)).otherwise(F.array(inner)))
+            .when(family == "formal_math", F.array(F.when(ends, final).otherwise(inner)))
+            .when(is_final_answer(s), F.array(inner, final))
+            .otherwise(F.array(inner))
         )
 
-    return F.transform(parts, labels)
+    given = F.struct(filled(segments).alias("parts"), task_family(source).alias("family"), cell_types.alias("cells"))
+    return F.transform(F.array(given), lambda of: F.transform(of["parts"], lambda s, i: labels(of, s, i)))[0]
 
 
 #: Entities of the basic set; others stay as they are written.

@@ -9,7 +9,7 @@ from seamline.functions import arrays as A
 from seamline.functions import text as X
 from seamline.operators import boundaries as B
 from seamline.operators import ordering
-from seamline.session import table
+from seamline.session import table, texts
 
 LEFT = "SELECT doc_id, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS o, i, len(l) AS n FROM (SELECT doc_id, l, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, '.') AS l FROM documents))"
 RIGHT = "SELECT doc_id, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS o, i, len(l) AS n FROM (SELECT doc_id, l, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -24,7 +24,7 @@ d AS (SELECT doc_id, sum(a) AS n_left, sum(b) AS n_right, sum(a * b) AS n_shared
 
 def _pairs(spark, sf: str) -> DataFrame:
     """Sentence ends and line ends of each document that has both."""
-    docs = table(spark, sf, "documents").select("doc_id", B.cut_offsets(F.col("text"), ".").alias("l"), B.cut_offsets(F.col("text"), "\n", True).alias("r"))
+    docs = texts(spark, sf).select("doc_id", B.cut_offsets(F.col("text"), ".").alias("l"), B.cut_offsets(F.col("text"), "\n", True).alias("r"))
     return docs.where((F.size("l") > 0) & (F.size("r") > 0))
 
 
@@ -107,7 +107,7 @@ def q06_terminal_drop(spark, sf: str) -> DataFrame:
 
 
 def q23_sentence_segments(spark, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n_segments"))
+    return texts(spark, sf).select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n_segments"))
 
 
 Q23_SQL = r"""
@@ -121,7 +121,7 @@ SELECT d.doc_id, count(s) FILTER (WHERE trim(s) <> '') AS n_segments FROM docume
 def q24_boundary_labels(spark, sf: str) -> DataFrame:
     """Blank-separated tokens of lines as segments; the last token of each is a boundary."""
     counts = F.transform(F.split("text", "\n", -1), lambda s: F.size(F.filter(F.split(s, " ", -1), lambda w: w != "")))
-    docs = table(spark, sf, "documents").select("doc_id", A.segment_labels(F.filter(counts, lambda n: n > 0), F.lit(0)).alias("labels"))
+    docs = texts(spark, sf).select("doc_id", A.segment_labels(F.filter(counts, lambda n: n > 0), F.lit(0)).alias("labels"))
     ones = F.aggregate("labels", F.lit(0), lambda s, x: s + x)
     return docs.select(
         "doc_id", F.size("labels").cast("long").alias("n_tokens"), ones.cast("long").alias("n_boundaries"),

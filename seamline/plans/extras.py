@@ -13,7 +13,7 @@ from seamline.operators import boundaries as B
 from seamline.operators import corpora, ordering, summaries
 from seamline.operators import predicates as P
 from seamline.operators.scans import scan
-from seamline.session import table
+from seamline.session import table, texts
 from seamline.streaming import state
 
 LATEX = (
@@ -38,7 +38,7 @@ LINES = "l AS (SELECT l_orderkey, CAST(l_quantity AS INT) AS q, CASE WHEN l_retu
 
 
 def q55_task_categories(spark, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.explode(P.task_categories(F.col("text"))).alias("category"))
+    d = texts(spark, sf).select(F.explode(P.task_categories(F.col("text"))).alias("category"))
     return d.groupBy("category").agg(F.count("*").alias("n"))
 
 
@@ -147,7 +147,7 @@ def q71_chat_text(spark, sf: str) -> DataFrame:
 
 
 def q72_overlap_text(spark, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.md5(X.overlap_text(F.col("text"))).alias("text_md5"))
+    return texts(spark, sf).select("doc_id", F.md5(X.overlap_text(F.col("text"))).alias("text_md5"))
 
 
 QUERIES = {f.__name__: f for f in (

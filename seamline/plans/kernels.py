@@ -14,7 +14,7 @@ from seamline.functions import maths
 from seamline.functions.kernels import code, phases
 from seamline.operators import sampling
 from seamline.plans.boundaries import TRACE
-from seamline.session import shared_folder, table
+from seamline.session import shared_folder, table, texts
 from seamline.sources.sinks import enriched
 from seamline.streaming import state, versions
 
@@ -70,7 +70,7 @@ AS t(id, answer, number, correct, n_steps)
 
 def q51_math_documents(spark, sf: str) -> DataFrame:
     """Segments of documents as mathematical prose: how many, and how many look like steps."""
-    d = table(spark, sf, "documents").select("doc_id", maths.math_segments(F.col("text")).alias("s"))
+    d = texts(spark, sf).select("doc_id", maths.math_segments(F.col("text")).alias("s"))
     return d.select("doc_id", F.size("s").cast("long").alias("n_segments"), F.size(F.filter("s", lambda p: X.is_reasoning_step(p))).cast("long").alias("n_steps"))
 
 
@@ -78,7 +78,7 @@ def q52_enriched_documents(spark, sf: str) -> DataFrame:
     """Sentences of documents as segmented records, with boundary types; families by source number."""
     names = F.array(*[F.lit(n) for n in ("gum", "codesearchnet", "juice", "lean_workbook", "other")])
     source = F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int"))
-    d = table(spark, sf, "documents").select(
+    d = texts(spark, sf).select(
         "doc_id", source.alias("source"), F.lit(None).cast("string").alias("source_dataset"), X.sentences(F.col("text")).alias("segments"),
         F.lit(None).cast("array<string>").alias("cell_types"), F.lit(False).alias("has_docstring"),
     )

@@ -11,7 +11,7 @@ from seamline.functions import text as X
 from seamline.operators import boundaries as B
 from seamline.operators import metrics, rules
 from seamline.operators.scans import scan
-from seamline.session import table
+from seamline.session import table, texts
 
 LANGS = ["de", "en", "es", "fr", "it"]
 #: A few frequent words of each language, in the order in which ties are decided.
@@ -40,7 +40,7 @@ LABELLED = "l AS (SELECT lang, n_chars > 1500 AS guess, quality = 1 AS gold FROM
 
 def _guessed_languages(spark, sf: str) -> DataFrame:
     words = F.split(F.lower("text"), "[^\\p{L}]+", -1)
-    d = table(spark, sf, "documents").select("doc_id", "lang", words.alias("w"))
+    d = texts(spark, sf).select("doc_id", "lang", words.alias("w"))
     d = d.select("doc_id", "lang", *[_count_of("w", stop).alias(f"n_{k}") for k, stop in STOP_WORDS.items()])
     best = F.greatest(*[F.col(f"n_{k}") for k in STOP_WORDS])
     guess = F.when(best == 0, F.lit("none"))
@@ -179,7 +179,7 @@ def q38_first_nonempty(spark, sf: str) -> DataFrame:
 
 
 def q39_gsm8k_answer(spark, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", M.gsm8k_answer(F.col("text")).alias("answer"))
+    d = texts(spark, sf).select("doc_id", M.gsm8k_answer(F.col("text")).alias("answer"))
     return d.where("answer is not null")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.functions import prior as P
-from seamline.session import table
+from seamline.session import table, texts
 
 GEN_LENGTH, DEFAULT = 256, 32
 TOKEN = r"[ \t\n\r]*[^ \t\n\r]+"
@@ -14,7 +14,7 @@ TOKEN = r"[ \t\n\r]*[^ \t\n\r]+"
 
 def q73_prior_lengths(spark, sf: str) -> DataFrame:
     """Length of every document's first block by each rule; tokens are words with the blanks before them."""
-    d = table(spark, sf, "documents").select("doc_id", P.first_tokens(F.col("text"), int(GEN_LENGTH * P.WINDOW_RATIO)).alias("t"))
+    d = texts(spark, sf).select("doc_id", P.first_tokens(F.col("text"), int(GEN_LENGTH * P.WINDOW_RATIO)).alias("t"))
     length = lambda task: P.prior_length(F.col("t"), GEN_LENGTH, F.lit(0), F.lit(DEFAULT), task)
     return d.select("doc_id", length("nl").alias("sentence"), length("math").alias("step"), length("code").alias("code"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions import text as X
 from seamline.operators import ordering, rules, sampling
-from seamline.session import table
+from seamline.session import table, texts
 
 RATIOS = {"train": 3, "valid": 1, "test": 1}
 WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
@@ -148,7 +148,7 @@ def q21_length_summary(spark, sf: str) -> DataFrame:
 
 
 def q22_top_k_tags(spark, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), " ", -1)).alias("word")).where("word <> ''")
+    words = texts(spark, sf).select(F.explode(F.split(F.lower("text"), " ", -1)).alias("word")).where("word <> ''")
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(25)
 
 

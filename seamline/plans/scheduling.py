@@ -11,7 +11,7 @@ from seamline.operators import oracle_rows as O
 from seamline.operators import scoring
 from seamline.plans.oracle_rows import ORACLE_SQL as ROWS_SQL
 from seamline.plans.oracle_rows import order_documents
-from seamline.session import table
+from seamline.session import table, texts
 
 #: Overlapping on purpose: some begin within others.
 STOPS = [". The", "the th", "he a", "\n\n", "er the re", "ing ed the", " an"]
@@ -65,7 +65,7 @@ SELECT vec_id, array_to_string(list_transform(range(1, len(o) + 1), lambda i: CA
 
 def q84_stop_cuts(spark, sf: str) -> DataFrame:
     """Documents cut at seven stop strings that overlap: where, and the digest of what is left."""
-    d = table(spark, sf, "documents").select("doc_id", "text", G.first_stop(F.col("text"), STOPS).cast("long").alias("cut"))
+    d = texts(spark, sf).select("doc_id", "text", G.first_stop(F.col("text"), STOPS).cast("long").alias("cut"))
     return d.select("doc_id", "cut", F.md5(G.cut_at_first_stop(F.col("text"), STOPS)).alias("digest"))
 
 

@@ -26,6 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over as many tasks as run at once, if it has fewer: files that cannot be split leave cores idle.
+
+    A large table has more parts than that and is left as it is.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, text of the documents, for work by row that costs more than to deal them out."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that driver and executors share.
 
