@@ -16,17 +16,6 @@ from seamline.operators.scans import scan
 from seamline.session import table, texts
 from seamline.streaming import state
 
-LATEX = (
-    "\\frac12", "\\tfrac1{20}", "1/2", "01/2", "\\sqrt3", "x = 5", ".5", "5\\text{ cm}", "50\\%", "\\left( 1 \\right)", "\\dfrac{3}{4}", "",
-)
-CANONICAL = (
-    "\\frac{1}{2}", "\\frac{1}{20}", "\\frac{1}{2}", "01/2", "\\sqrt{3}", "5", "\\frac{1}{2}", "5", "50", "(1)", "\\frac{3}{4}", "",
-)
-FAILURES = (
-    ("AssertionError: x", ""), ("IndexError", ""), ("TypeError", "fix = 1"), ("", "To solve this problem"), ("", "x"), (None, None),
-)
-
-
 def _orders(spark, sf: str) -> DataFrame:
     """Quantities and return marks of each order's lines, in a fixed order."""
     li = table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), "l_partkey", (F.col("l_returnflag") == "R").cast("int").alias("m")).alias("r"))
@@ -43,8 +32,12 @@ def q55_task_categories(spark, sf: str) -> DataFrame:
 
 
 def q56_failure_types(spark, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(FAILURES)], "id long, e string, c string")
-    return rows.select("id", P.failure_type(F.col("e"), F.col("c")).alias("failure"))
+    """What went wrong, of errors and completions that name the part: by its key one of six kinds."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    errors = [F.concat(F.lit("AssertionError: "), name), F.concat(name, F.lit(" IndexError")), F.concat(F.lit("TypeError in "), name), F.lit(""), F.lit(""), F.lit(None).cast("string")]
+    completions = [F.lit(""), F.lit(""), F.concat(F.lit("fix = "), k.cast("string")), F.concat(F.lit("To solve this problem, "), name), F.lit("x"), F.lit(None).cast("string")]
+    kind = (k % 6).cast("int")
+    return table(spark, sf, "part").select(k.alias("id"), P.failure_type(F.get(F.array(*errors), kind), F.get(F.array(*completions), kind)).alias("failure"))
 
 
 def q57_pass_changes(spark, sf: str) -> DataFrame:
@@ -111,8 +104,21 @@ def q65_carried_scores(spark, sf: str) -> DataFrame:
 
 
 def q66_latex_answers(spark, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, a) for i, a in enumerate(LATEX)], "id long, a string")
-    return rows.select("id", M.canonical_latex(F.col("a")).alias("answer"))
+    """Answers written in ten ways, with digits by key and numbers by size, in one form."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    a, b = k % 9 + 1, n % 9 + 1
+    ways = [
+        F.format_string("\\frac%d%d", a, b), F.format_string("\\tfrac%d{%d}", a, n + 9), F.format_string("%d/%d", a, n), F.format_string("0%d/%d", a, n), F.format_string("\\sqrt%d", a),
+        F.format_string("x = %d", n), F.format_string("%d\\text{ cm}", n), F.format_string("%d\\%%", n), F.format_string("\\left( %d \\right)", n), F.format_string("\\dfrac{%d}{%d}", n, a),
+    ]
+    return table(spark, sf, "part").select(k.alias("id"), M.canonical_latex(F.get(F.array(*ways), (k % 10).cast("int"))).alias("answer"))
+
+
+Q66_SQL = r"""
+WITH p AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 9 + 1 AS a, p_size % 9 + 1 AS b FROM part)
+SELECT k AS id, CASE k % 10 WHEN 0 THEN '\frac{' || a || '}{' || b || '}' WHEN 1 THEN '\frac{' || a || '}{' || (n + 9) || '}' WHEN 2 THEN '\frac{' || a || '}{' || n || '}'
+  WHEN 3 THEN '0' || a || '/' || n WHEN 4 THEN '\sqrt{' || a || '}' WHEN 8 THEN '(' || n || ')' WHEN 9 THEN '\frac{' || n || '}{' || a || '}' ELSE CAST(n AS VARCHAR) END AS answer FROM p
+""".replace("\\\\", "\\")
 
 
 def q67_even_parts(spark, sf: str) -> DataFrame:
@@ -154,10 +160,9 @@ QUERIES = {f.__name__: f for f in (
     q55_task_categories, q56_failure_types, q57_pass_changes, q58_document_summary, q59_masked_histogram, q60_fixed_blocks, q61_labelled_summary, q62_transitions,
     q63_degraded_lengths, q64_revisit_plans, q65_carried_scores, q66_latex_answers, q67_even_parts, q68_entropy, q69_position_labels, q70_zip_in_order, q71_chat_text, q72_overlap_text,
 )}
-_quote = lambda s: "'" + s.replace("'", "''") + "'"
 ORACLE_SQL = {
     "q55_task_categories": " UNION ALL ".join(f"SELECT '{n}' AS category, count(*) AS n FROM documents WHERE regexp_matches(text, '(?i){p}') HAVING count(*) > 0" for n, p in P.CATEGORIES.items()),
-    "q56_failure_types": "SELECT * FROM (VALUES (0, 'AssertionError'), (1, 'RuntimeError'), (2, 'TypeError'), (3, 'PromptLeakage'), (4, 'UnknownError'), (5, 'UnknownError')) AS t(id, failure)",
+    "q56_failure_types": "SELECT p_partkey AS id, ['AssertionError', 'RuntimeError', 'TypeError', 'PromptLeakage', 'UnknownError', 'UnknownError'][p_partkey % 6 + 1] AS failure FROM part",
     "q57_pass_changes": "WITH d AS (SELECT n_chars > 1000 AS o, contains(text, 'the') AS w FROM documents) SELECT count(*) AS n, count(*) FILTER (WHERE o) AS old_pass, count(*) FILTER (WHERE w) AS new_pass, count(*) FILTER (WHERE w AND NOT o) AS rescued, count(*) FILTER (WHERE o AND NOT w) AS regressed FROM d",
     "q58_document_summary": f"WITH {LINES}, d AS (SELECT l_orderkey, sum(q) AS s, count(*) AS n, max(m) AS a FROM l GROUP BY 1) SELECT count(*) AS n_documents, round(sum(s) / sum(n), 6) AS avg_block_length, round(avg(n), 6) AS avg_block_count, round(avg(CASE WHEN n > 1 THEN 1 ELSE 0 END), 6) AS coverage_rate, round(avg(a), 6) AS anchor_rate FROM d",
     "q59_masked_histogram": f"WITH {LINES} SELECT q AS value, count(*) AS n FROM l WHERE m = 1 GROUP BY q",
@@ -167,7 +172,7 @@ ORACLE_SQL = {
     "q63_degraded_lengths": "WITH e AS (SELECT event_id, least(CAST(floor(abs(value)) AS BIGINT) % 32 + 1, 24) AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS s FROM events) SELECT event_id, greatest(1, b - 4) AS early, least(b + 4, 24) AS late, greatest(1, least(24, b + CASE WHEN s % 2 = 0 THEN 4 ELSE -4 END)) AS jitter, greatest(1, b // 4) AS oversegment FROM e",
     "q64_revisit_plans": Q64_SQL,
     "q65_carried_scores": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, lag(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT vec_id, round(0.5 + coalesce(list_cosine_similarity(v, p), 0) * 0.15, 6) AS score FROM e",
-    "q66_latex_answers": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quote(c)})" for i, c in enumerate(CANONICAL)) + ") AS t(id, answer)",
+    "q66_latex_answers": Q66_SQL,
     "q67_even_parts": "WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS t FROM orders) SELECT o_orderkey, t // 7 + CASE WHEN t % 7 > 0 THEN 1 ELSE 0 END AS first, t // 7 AS last, t AS total FROM o",
     "q68_entropy": f"WITH {LINES}, s AS (SELECT l_orderkey, greatest(q / sum(q) OVER (PARTITION BY l_orderkey), 1e-8) AS p FROM l) SELECT l_orderkey, round(-sum(p * ln(p)), 6) AS entropy FROM s GROUP BY 1",
     "q69_position_labels": f"WITH {LINES}, d AS (SELECT l_orderkey, list(q) AS q FROM l GROUP BY 1) SELECT l_orderkey, array_to_string(list_transform(range(10), lambda i: CASE WHEN list_contains(q, CAST(i AS INT)) THEN '1' ELSE '0' END), '') AS labels FROM d",

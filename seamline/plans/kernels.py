@@ -18,21 +18,6 @@ from seamline.session import shared_folder, table, texts
 from seamline.sources.sinks import enriched
 from seamline.streaming import state, versions
 
-#: Literal code and solutions for the kernels; the driver's tables hold none.
-CODE = [
-    (1, "python", "def total(xs):\n    \"\"\"Sum.\"\"\"\n    values = list(xs)\n    out = 0\n    for v in values:\n        out += v\n    if out < 0:\n        out = 0\n    return out\n"),
-    (2, "python", "import os\n\ndef main():\n    print(os.name)\n\nmain()\n"),
-    (3, "python", "def broken(:\n    return 1\n"),
-    (4, "javascript", "function add(a, b) {\n  const total = a + b;\n  if (total > 10) {\n    return 10;\n  }\n  return total;\n}\n"),
-    (5, "ruby", "def add(a, b)\n  # sum\n  total = a + b\n  if total > 10\n    total = 10\n  end\n  total\nend\n"),
-]
-SOLUTIONS = [
-    (1, "First, find x. We have $x = 3 + 4$. Then $x = 7$, so 2x = 14.\n\nTherefore the answer is $\\boxed{14}$.", "14"),
-    (2, "Compute 1/2 + 1/4.\n$$\n= 3/4\n$$\nAnswer: \\boxed{\\frac{3}{4}}", "\\boxed{3/4}"),
-    (3, "No number here", "5"), (4, "It is 1,234.", "#### 1234"), (5, None, "1"),
-]
-
-
 def q45_kv_state_stream(spark, sf: str) -> DataFrame:
     """Running offsets of ``events`` as a stream with keyed state, run to its end."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -42,30 +27,100 @@ def q45_kv_state_stream(spark, sf: str) -> DataFrame:
     return versions.results_of(spark, f"{folder}/results", state.OFFSETS)
 
 
+def part_functions(spark, sf: str) -> DataFrame:
+    """A Python function for every part: whether it has a doc, a conversion, a loop and a check goes by the part's key."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    some = lambda when, text: F.when(when, text).otherwise("")
+    code = F.concat(
+        F.format_string("def f%d(xs):\n", k), some(k % 2 == 0, F.concat(F.lit('    """'), "p_name", F.lit('"""\n'))), some(k % 3 == 0, F.lit("    values = list(xs)\n")),
+        F.lit("    out = "), n, F.lit("\n"), some(k % 5 < 3, F.lit("    for v in xs:\n        out += v\n")),
+        some(k % 7 < 4, F.concat(F.lit("    if out > "), n, F.lit(":\n        out = "), n, F.lit("\n"))), F.lit("    return out\n"),
+    )
+    return table(spark, sf, "part").select(k.alias("id"), code.alias("code"))
+
+
 def q46_python_phase_spans(spark, sf: str) -> DataFrame:
-    df = spark.createDataFrame(CODE, "id long, language string, code string").where("language = 'python'")
-    spans = df.select("id", phases.phase_labels(F.col("code")).alias("l")).select("id", F.posexplode("l.spans").alias("k", "s"))
+    """Phases of every part's function, with their places."""
+    spans = part_functions(spark, sf).select("id", phases.phase_labels(F.col("code")).alias("l")).select("id", F.posexplode("l.spans").alias("k", "s"))
     return spans.select("id", "k", "s.*")
 
 
+#: Each statement by its phases: (when it is there, phase, quality, characters before, of, and after the span).
+Q46_SQL = """
+WITH p AS (SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS n, p_name AS d, length('def f' || p_partkey || '(xs):') + 1 AS h FROM part),
+r AS (SELECT k, unnest([
+  {'o': 0, 'there': true, 'phase': 'signature_or_doc', 'confidence': 'gold', 'lead': 0, 'len': CASE WHEN k % 2 = 0 THEN h + 10 + length(d) ELSE h + 4 END, 'tail': CASE WHEN k % 2 = 0 THEN 1 ELSE -4 END},
+  {'o': 1, 'there': k % 3 = 0, 'phase': 'normalize', 'confidence': 'silver', 'lead': 4, 'len': 17, 'tail': 1},
+  {'o': 2, 'there': true, 'phase': 'init_state', 'confidence': 'silver', 'lead': 4, 'len': 6 + length(n), 'tail': 1},
+  {'o': 3, 'there': k % 5 < 3, 'phase': 'enumerate_or_iterate', 'confidence': 'gold', 'lead': 4, 'len': 21, 'tail': 0},
+  {'o': 4, 'there': k % 5 < 3, 'phase': 'update_state', 'confidence': 'gold', 'lead': 0, 'len': 8, 'tail': 1},
+  {'o': 5, 'there': k % 7 < 4, 'phase': 'check_or_verify', 'confidence': 'silver', 'lead': 4, 'len': 19 + length(n), 'tail': 0},
+  {'o': 6, 'there': k % 7 < 4, 'phase': 'init_state', 'confidence': 'silver', 'lead': 0, 'len': 6 + length(n), 'tail': 1},
+  {'o': 7, 'there': true, 'phase': 'return_emit', 'confidence': 'gold', 'lead': 4, 'len': 10, 'tail': 1}]) AS s FROM p),
+c AS (SELECT k, s, row_number() OVER w - 1 AS i, coalesce(sum(s.lead + s.len + s.tail) OVER (PARTITION BY k ORDER BY s.o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.lead AS b
+  FROM r WHERE s.there WINDOW w AS (PARTITION BY k ORDER BY s.o))
+SELECT k AS id, CAST(i AS INT) AS k, s.phase AS phase, CAST(b AS INT) AS "start", CAST(b + s.len AS INT) AS "end", s.confidence AS confidence FROM c
+"""
+
+
+def part_snippets(spark, sf: str) -> DataFrame:
+    """Code in three languages for the parts, some of it broken; names by key, numbers by size."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    texts_ = [
+        F.format_string("def f%d(xs):\n    out = %d\n    return out\n", k, n), F.format_string("import os\n\ndef main%d():\n    print(os.name)\n\nmain%d()\n", k, k),
+        F.format_string("def broken%d(:\n    return %d\n", k, n),
+        F.format_string("function add%d(a, b) {\n  const total = a + b;\n  if (total > %d) {\n    return %d;\n  }\n  return total;\n}\n", k, n, n),
+        F.format_string("def add%d(a, b)\n  # sum\n  total = a + b\n  if total > %d\n    total = %d\n  end\n  total\nend\n", k, n, n),
+    ]
+    languages = F.array(*map(F.lit, ("python", "python", "python", "javascript", "ruby")))
+    kind = (k % 5).cast("int")
+    return table(spark, sf, "part").select(k.alias("id"), F.get(languages, kind).alias("language"), F.get(F.array(*texts_), kind).alias("code"))
+
+
 def q49_code_segments(spark, sf: str) -> DataFrame:
-    df = spark.createDataFrame(CODE, "id long, language string, code string")
-    return df.select("id", "language", code.segmented_code(F.col("language"), F.col("code")).alias("s")).select("id", "language", "s.*")
+    """How every part's code is segmented, and into what; scripts that do not begin with a function are not."""
+    cut = part_snippets(spark, sf).select("id", "language", code.segmented_code(F.col("language"), F.col("code")).alias("s"))
+    return cut.select("id", "language", "s.method", "s.quality", F.array_join("s.segments", "|").alias("segments"))
+
+
+Q49_SQL = """
+WITH p AS (SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS n, chr(10) AS e, p_partkey % 5 AS kind FROM part)
+SELECT k AS id, ['python', 'python', 'python', 'javascript', 'ruby'][kind + 1] AS language, CASE kind WHEN 0 THEN 'ast' WHEN 4 THEN 'ruby_indent' WHEN 1 THEN NULL ELSE 'heuristic' END AS method,
+  CASE kind WHEN 0 THEN 'high' WHEN 1 THEN NULL ELSE 'fallback' END AS quality,
+  CASE kind WHEN 0 THEN 'def f' || k || '(xs):|out = ' || n || e || 'return out'
+    WHEN 2 THEN 'def broken' || k || '(:|return ' || n
+    WHEN 3 THEN 'function add' || k || '(a, b) {|const total = a + b;' || e || 'if (total > ' || n || ') {' || e || '    return ' || n || ';' || e || '  }' || e || 'return total;' || e || '}'
+    WHEN 4 THEN 'def add' || k || '(a, b)|# sum' || e || '  total = a + b' || e || 'if total > ' || n || e || '    total = ' || n || e || '  end' || e || 'total' || e || 'end' END AS segments FROM p
+"""
+
+
+def part_solutions(spark, sf: str) -> DataFrame:
+    """Solutions that end in a box, a display, no number, a number or nothing, with numbers by size; half of the first are right."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    kinds = [
+        (F.format_string("First, find x. We have $x = %d + 4$. Then $x = %d$, so 2x = %d.\n\nTherefore the answer is $\\boxed{%d}$.", n, n + 4, 2 * n + 8, 2 * n + 8), (2 * n + 8 + F.floor(k / 5) % 2).cast("string")),
+        (F.format_string("Compute %d/4 + 1/4.\n$$\n= %d/4\n$$\nAnswer: \\boxed{\\frac{%d}{4}}", n, n + 1, n + 1), F.format_string("\\boxed{%d/4}", n + 1)),
+        (F.concat(F.lit("No number in "), F.regexp_replace("p_name", "[^a-z ]", "")), F.lit("5")), (F.format_string("It is 1,%d.", n + 100), F.format_string("#### 1%d", n + 100)), (F.lit(None).cast("string"), F.lit("1")),
+    ]
+    kind = (k % 5).cast("int")
+    return table(spark, sf, "part").select(k.alias("id"), F.get(F.array(*[s for s, _ in kinds]), kind).alias("solution"), F.get(F.array(*[g for _, g in kinds]), kind).alias("gold"))
 
 
 def q50_math_answers(spark, sf: str) -> DataFrame:
-    df = spark.createDataFrame(SOLUTIONS, "id long, solution string, gold string")
-    return df.select(
+    """Answers of every part's solution, whether they are right, and steps."""
+    return part_solutions(spark, sf).select(
         "id", M.math_answer(F.col("solution")).alias("answer"), M.gsm8k_answer(F.col("solution")).alias("number"),
         M.math_correct(F.col("gold"), F.col("solution")).alias("correct"),
         F.coalesce(F.size(maths.math_segments(F.col("solution"))), F.lit(0)).cast("long").alias("n_steps"),
     )
 
 
-Q50_SQL = """
-SELECT * FROM (VALUES (1, '14', '.', true, 4), (2, '\\frac{3}{4}', '4', true, 1), (3, 'No number here', NULL, false, 1), (4, 'It is 1,234', '1234', false, 1), (5, NULL, NULL, false, 0))
-AS t(id, answer, number, correct, n_steps)
-"""
+Q50_SQL = r"""
+WITH p AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 5 AS kind, regexp_replace(p_name, '[^a-z ]', '', 'g') AS w FROM part)
+SELECT k AS id, CASE kind WHEN 0 THEN CAST(2 * n + 8 AS VARCHAR) WHEN 1 THEN '\frac{' || (n + 1) || '}{4}' WHEN 2 THEN 'No number in ' || w WHEN 3 THEN 'It is 1,' || (n + 100) END AS answer,
+  CASE kind WHEN 0 THEN '.' WHEN 1 THEN '4' WHEN 3 THEN '1' || (n + 100) END AS number,
+  CASE kind WHEN 0 THEN (k // 5) % 2 = 0 WHEN 1 THEN true ELSE false END AS correct, CAST(CASE kind WHEN 0 THEN 4 WHEN 4 THEN 0 ELSE 1 END AS BIGINT) AS n_steps FROM p
+""".replace("\\\\", "\\")
 
 
 def q51_math_documents(spark, sf: str) -> DataFrame:
@@ -119,6 +174,8 @@ QUERIES = {f.__name__: f for f in (
 )}
 ORACLE_SQL = {
     "q45_kv_state_stream": TRACE,
+    "q46_python_phase_spans": Q46_SQL,
+    "q49_code_segments": Q49_SQL,
     "q50_math_answers": Q50_SQL,
     "q53_budgets": Q53_SQL,
     "q54_record_digest_split": """SELECT s_suppkey, md5('{"s_name":"' || s_name || '","s_nationkey":' || s_nationkey || ',"s_suppkey":' || s_suppkey || '}') AS digest FROM supplier""",

@@ -9,7 +9,9 @@ from seamline.operators import oracle_rows as O
 from seamline.operators import training_rows as T
 from seamline.session import table
 
-QUESTION, ANSWER = "How many parts of size {}?", "First, count the parts:\n{} + 1 = {}\nThe total came out to {}."
+QUESTION = "How many parts of size {}?"
+#: What is counted, one after the other; a part has one to four of them.
+COUNTED = ("boxes", "crates on the ship", "pallets", "lids")
 
 
 def order_documents(spark, sf: str) -> DataFrame:
@@ -39,11 +41,12 @@ def q76_correction_rows(spark, sf: str) -> DataFrame:
 
 
 def q77_oracle_documents(spark, sf: str) -> DataFrame:
-    """Parts' sizes as questions with worked answers: blocks, their tokens, and what lies around the ends."""
-    size = F.col("p_size").cast("string")
+    """Parts' sizes as questions with worked answers of two to five steps: blocks, and what lies around their ends."""
+    n, size = F.col("p_size"), F.col("p_size").cast("string")
+    counts = [F.when(F.col("p_partkey") % 4 >= i, F.format_string(f"Find the number of {what}:\n%d + {i} = %d\n", n, n + i)).otherwise("") for i, what in enumerate(COUNTED)]
     asked = table(spark, sf, "part").select(
         F.col("p_partkey").alias("position"), F.replace(F.lit(QUESTION), F.lit("{}"), size).alias("question"),
-        F.format_string(ANSWER.replace("{}", "%s"), size, (F.col("p_size") + 1).cast("string"), (F.col("p_size") + 1).cast("string")).alias("answer"),
+        F.concat(*counts, F.format_string("The total came out to %d.", n + 1)).alias("answer"),
     )
     docs = O.question_documents(asked, "part/train", F.lit(None).cast("array<struct<question:string,answer:string>>"))
     return docs.select("sample_id", "prompt_text", F.array_join("segments", "|").alias("steps"), F.size("oracle_block_sizes").alias("n_blocks"),
@@ -86,8 +89,10 @@ FROM l WHERE n > 1""",
 b AS (SELECT *, CASE WHEN i % 2 = 0 THEN 0 WHEN 30000 >= p AND 30000 >= q * 1000.0 THEN 0 WHEN p >= q * 1000.0 THEN -1 ELSE 2 END AS d FROM l)
 SELECT sample_id, i AS boundary_index, d AS best_delta, CAST(d <> 0 AS INT) AS gate_target, d + 2 AS delta_target, 'gsm8k' AS source_dataset FROM b""",
     "q77_oracle_documents": r"""
-SELECT 'part/train/' || p_partkey AS sample_id, 'Q: How many parts of size ' || p_size || '?' || chr(10) || 'A: Let''s think step by step.' AS prompt_text,
-  'parts: ' || p_size || ' + 1 = ' || (p_size + 1) || '|total: ' || (p_size + 1) || '.' AS steps, 2 AS n_blocks, 4 AS n_candidates FROM part""",
+WITH p AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 4 + 1 AS m, ['boxes', 'crates on the ship', 'pallets', 'lids'] AS w FROM part)
+SELECT 'part/train/' || k AS sample_id, 'Q: How many parts of size ' || n || '?' || chr(10) || 'A: Let''s think step by step.' AS prompt_text,
+  array_to_string(list_transform(range(0, m), lambda i: 'number of ' || w[i + 1] || ': ' || n || ' + ' || i || ' = ' || (n + i)), '|') || '|total: ' || (n + 1) || '.' AS steps,
+  CAST(m + 1 AS INT) AS n_blocks, CAST(list_sum(list_transform(range(0, m + 1), lambda i: least(i, 2) + 1 + least(m - i, 2))) AS INT) AS n_candidates FROM p""",
     "q78_labelled_code": r"""
 WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS task_id, 'def f(a):' || chr(10) || '    \"\"\"' || p_name || '\"\"\"' || chr(10) AS lead, '    b = a + ' || p_size || chr(10) || '    return b' AS body FROM part)
 SELECT task_id, lead || body AS serialized_text, 'general' AS hard_mining_cluster, 'def f(a):' AS synthetic_signature,
