@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -191,3 +193,31 @@ def utc_text(moment: Column) -> Column:
 
 def slug(moment: Column) -> Column:
     return F.date_format(moment, "yyyyMMdd_HHmmss")
+
+
+def option_text(options: dict[str, Column | str | float | bool | None], lists: tuple[str, ...] = ()) -> Column:
+    """"name=value" parts joined by commas; null options are left out, commas inside those of ``lists`` become bars."""
+    parts = []
+    for name, value in options.items():
+        if value is None:
+            continue
+        given = value if isinstance(value, Column) else F.lit(str(value))
+        text = given.cast("string")
+        parts.append(F.concat(F.lit(f"{name}="), F.replace(text, F.lit(","), F.lit("|")) if name in lists else text))
+    return F.concat_ws(",", *parts)
+
+
+def count_of(items: Column) -> Column:
+    """Length of an array, 0 for null."""
+    return F.coalesce(F.size(items), F.lit(0))
+
+
+def as_json(columns: list[str]) -> Column:
+    """A record as JSON, null fields included, in order of ``columns``."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def separator_tokens(tokenize: Callable[[str], list[int]], separator: str = "\n") -> Column:
+    """Tokens of the separator between segments as a constant array: of the first of it, a line end and a blank that has any."""
+    found = next((t for s in (separator, "\n", " ") if s and (t := tokenize(s))), [])
+    return F.array(*map(F.lit, found)).cast("array<int>")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamline.operators import evaluation as E
 from seamline.operators import oracle_rows as O
 from seamline.operators import training_rows as T
 from seamline.session import table
@@ -53,6 +54,26 @@ def q77_oracle_documents(spark, sf: str) -> DataFrame:
                        F.size(F.flatten(F.transform("oracle_prior_boundary_points", lambda x: x["candidate_indices"]))).alias("n_candidates"))
 
 
+EXAMPLES, TASKS = 4, 60
+
+
+def part_problems(spark, sf: str) -> DataFrame:
+    """Parts as problems: their names ask, sizes answer; types are subjects and brands levels. Every sixteenth has an id."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    return table(spark, sf, "part").select(
+        k.alias("position"), F.concat(F.lit("How large is the "), "p_name", F.lit(", in "), (k % 50).cast("string"), F.lit("?")).alias("problem"),
+        F.concat(F.lit("It is = "), n, F.lit(".\nSo \\boxed{"), n, F.lit("}")).alias("solution"), F.col("p_type").alias("subject"), F.col("p_brand").alias("level"),
+        F.when(k % 16 == 0, F.concat(F.lit("u"), k.cast("string"))).alias("unique_id"),
+    )
+
+
+def q90_math_documents(spark, sf: str) -> DataFrame:
+    """Sixty parts with odd keys as tasks, in turn by type and brand, with four worked examples of parts with even keys."""
+    rows = part_problems(spark, sf)
+    docs = E.math_documents(rows.where("position % 2 = 0"), rows.where("position % 2 = 1"), EXAMPLES, TASKS)
+    return docs.select("sample_id", "subject", "level", F.md5("prompt_text").alias("prompt"), F.size("oracle_block_sizes").alias("n_blocks"))
+
+
 def part_code(spark, sf: str) -> DataFrame:
     """A short function for every part, with a task of the part's name."""
     none = lambda kind: F.lit(None).cast(kind)
@@ -77,7 +98,7 @@ def q78_labelled_code(spark, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (q75_gate_rows, q76_correction_rows, q77_oracle_documents, q78_labelled_code)}
+QUERIES = {f.__name__: f for f in (q75_gate_rows, q76_correction_rows, q77_oracle_documents, q78_labelled_code, q90_math_documents)}
 _LINES = """
 WITH l AS (SELECT CAST(l_orderkey AS VARCHAR) AS sample_id, CAST(l_quantity AS INT) AS q, CAST(l_extendedprice AS DOUBLE) AS p,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_extendedprice) - 1 AS INT) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"""
@@ -98,4 +119,16 @@ WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS task_id, 'def f(a):' || chr(10)
 SELECT task_id, lead || body AS serialized_text, 'general' AS hard_mining_cluster, 'def f(a):' AS synthetic_signature,
   len(regexp_extract_all(lead || body, '[^ \t\n\r]+')) AS n_tokens, len(regexp_extract_all(lead, '[^ \t\n\r]+')) + 1 AS condition_token_count,
   2 AS n_boundaries, 4 AS n_phased, 7 AS n_counted FROM t""".replace(r"\"", '"'),
+    "q90_math_documents": f"""
+WITH r AS (SELECT p_partkey AS k, 'How large is the ' || p_name || ', in ' || (p_partkey % 50) || '?' AS q, 'It is = ' || p_size || '.' || chr(10) || 'So \\boxed{{' || p_size || '}}' AS a,
+    p_type AS s, p_brand AS l, CASE WHEN p_partkey % 16 = 0 THEN 'u' || p_partkey END AS u FROM part),
+n AS (SELECT *, trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g')) AS w FROM r),
+t AS (SELECT * FROM n WHERE k % 2 = 0 AND w NOT IN (SELECT w FROM n WHERE k % 2 = 1)),
+e1 AS (SELECT q, a, k, 0 AS later FROM t QUALIFY row_number() OVER (PARTITION BY lower(s) ORDER BY k) = 1),
+e2 AS (SELECT q, a, min(k) AS k, 1 AS later FROM t WHERE (q, a) NOT IN (SELECT (q, a) FROM e1) GROUP BY q, a),
+e AS (SELECT * FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2) ORDER BY later, k LIMIT {EXAMPLES}),
+x AS (SELECT string_agg('Problem: ' || q || chr(10) || 'Answer: ' || a, chr(10) || chr(10) ORDER BY later, k) AS x FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY s, l ORDER BY k) AS turn, min(k) OVER (PARTITION BY s, l) AS seen FROM r WHERE k % 2 = 1),
+p AS (SELECT *, row_number() OVER (ORDER BY turn, seen, k) - 1 AS i FROM o QUALIFY i < {TASKS})
+SELECT coalesce(u, 'math/test/' || i) AS sample_id, s AS subject, l AS level, md5(x || chr(10) || chr(10) || 'Problem: ' || q || chr(10) || 'Answer:') AS prompt, 2 AS n_blocks FROM p, x""",
 }
