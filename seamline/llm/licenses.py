@@ -15,6 +15,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seamline.session import texts
+
 #: Normalised sentences of public licence texts and notices, with their identifiers.
 SENTENCES = {
     "released under the mit license": "mit-ref",
@@ -296,7 +298,7 @@ def scan_licenses(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
     """Licences of every document."""
-    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return scan_licenses(texts(spark, sf_dir), "doc_id", "text")
 
 
 def _sql() -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.functions.arrays import running_sums
+from seamline.session import texts
 
 #: Characters before and after a span, up to the next span of the kind, in which context words count.
 CONTEXT = 40
@@ -224,4 +225,4 @@ def pii_report(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
-    return pii_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return pii_report(texts(spark, sf_dir), "doc_id", "text")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.texts import map_texts
-from seamline.session import durable
+from seamline.session import durable, texts
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -299,4 +299,4 @@ def find_secrets(df: DataFrame, key: str, text: str, rate: float = RATE) -> Data
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
-    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return find_secrets(texts(spark, sf_dir), "doc_id", "text")

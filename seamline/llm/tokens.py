@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from seamline.llm.texts import ROWS_AT_A_TIME, as_bytes, bound_batches, worker_memory
-from seamline.session import table
+from seamline.session import texts
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -172,4 +172,4 @@ def count_tokens(df: DataFrame, text: str, path: str, cut: str = "blanks", keep:
 
 
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), "text", vocabulary_path(), keep=["doc_id"])
+    return count_tokens(texts(spark, sf_dir), "text", vocabulary_path(), keep=["doc_id"])
