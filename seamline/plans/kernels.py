@@ -145,6 +145,26 @@ def q52_enriched_documents(spark, sf: str) -> DataFrame:
     )
 
 
+#: Segments as in q23; what each shows by patterns; then how many labels and which, by family.
+Q52_SQL = r"""
+WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[ \t]+', ' ', 'g'), E' \n') AS t FROM documents),
+p AS (SELECT doc_id, string_split_regex(t, '\n\s*\n+') AS l FROM t WHERE t <> ''),
+q AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM p),
+c AS (SELECT doc_id, i, string_split(regexp_replace(regexp_replace(p, '([.?!;:])\s+([A-Z0-9$\\(\["''])', E'\\1\x01\\2', 'g'), '([.?!;:])\s+([A-Z0-9$\\(\["''])', E'\\1\x01\\2', 'g'), chr(1)) AS l FROM q),
+u AS (SELECT doc_id, i, unnest(l) AS s, generate_subscripts(l, 1) AS j FROM c),
+s AS (SELECT doc_id, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n, count(*) OVER (PARTITION BY doc_id) AS m FROM u WHERE regexp_matches(s, '\S')),
+f AS (SELECT *, regexp_matches(s, '\boxed\s*\{') OR regexp_matches(s, '\A\s*####\s*[^\n]+\z') OR regexp_matches(s, '(?i)\A\s*(?:final\s+answer|answer)\s*[:=]') OR regexp_matches(s, '\A[-+]?\$?\d+(?:\.\d+)?(?:/\d+)?\$?\z') AS final,
+  regexp_matches(s, '\A(?:def |async def |class |return |if |elif |else:|for |while |try:|except |with |import |from |public |private |protected |function |const |let |var |package |func |#include)')
+    OR (regexp_matches(s, '[{}();]') AND NOT ends_with(s, '.')) OR (contains(s, chr(10)) AND regexp_matches(s, 'def |class |return |import |from |\{')) AS code,
+  regexp_matches(s, '=|\\frac|\\sum|\\int|\\begin\{|\\end\{') OR s IN ('$$', '$', '\[', '\]') OR (regexp_matches(s, '\d') AND regexp_matches(s, '[=+\-*/^<>]')) AS shown FROM s),
+d AS (SELECT doc_id, ['gum', 'codesearchnet', 'juice', 'lean_workbook', 'other'][doc_id % 5 + 1] AS source, ['discourse', 'code', 'notebook', 'formal_math', 'generic'][doc_id % 5 + 1] AS family FROM documents),
+l AS (SELECT d.*, s IS NOT NULL AS there, CASE family WHEN 'code' THEN n > 1 OR code WHEN 'notebook' THEN NOT final AND code ELSE false END AS commit_,
+  CASE family WHEN 'code' THEN false WHEN 'formal_math' THEN final OR (n = m AND shown) ELSE final END AS anchor FROM d LEFT JOIN f USING (doc_id))
+SELECT source, family AS task_family, count(DISTINCT doc_id) AS n_rows, count(DISTINCT doc_id) FILTER (anchor) AS n_anchored, count(*) FILTER (commit_) AS n_commits,
+  CAST(sum(CASE WHEN NOT there THEN 0 WHEN family IN ('discourse', 'generic') AND anchor THEN 2 ELSE 1 END) AS BIGINT) AS n_types FROM l GROUP BY 1, 2
+"""
+
+
 def q53_budgets(spark, sf: str) -> DataFrame:
     """Line lengths of each order cut off at a budget of 60, their positions, and steps of an even deal."""
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), "l_partkey"))).alias("r"))
@@ -177,6 +197,7 @@ ORACLE_SQL = {
     "q46_python_phase_spans": Q46_SQL,
     "q49_code_segments": Q49_SQL,
     "q50_math_answers": Q50_SQL,
+    "q52_enriched_documents": Q52_SQL,
     "q53_budgets": Q53_SQL,
     "q54_record_digest_split": """SELECT s_suppkey, md5('{"s_name":"' || s_name || '","s_nationkey":' || s_nationkey || ',"s_suppkey":' || s_suppkey || '}') AS digest FROM supplier""",
 }
