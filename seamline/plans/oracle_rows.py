@@ -74,6 +74,20 @@ def q90_math_documents(spark, sf: str) -> DataFrame:
     return docs.select("sample_id", "subject", "level", F.md5("prompt_text").alias("prompt"), F.size("oracle_block_sizes").alias("n_blocks"))
 
 
+def q91_evaluation_summary(spark, sf: str) -> DataFrame:
+    """All parts as tasks; every third prediction is wrong, every fifth missing, gates carry at even keys."""
+    rows = part_problems(spark, sf).withColumn("unique_id", F.concat(F.lit("u"), F.col("position").cast("string")))
+    docs = E.math_documents(rows.limit(0), rows, 0)
+    k = F.substring("sample_id", 2, 20).cast("int")
+    prediction = F.when(k % 5 != 0, F.when(k % 3 == 0, F.lit("\\boxed{x}")).otherwise(F.concat(F.lit("Then "), "gold_solution")))
+    made = docs.withColumns({
+        "prediction": prediction, "block_history": F.array(F.lit(8), F.lit(8)), "nfe_history": F.array(F.lit(3), k % 4), "carry_mask": F.when(k % 7 != 0, F.array((k % 2 == 0).cast("int"))),
+        "predicted_deltas": F.when(k % 4 == 0, F.create_map(F.lit(0), F.lit(1))),
+    })
+    s = E.evaluation_summary(E.evaluated(made, "math"))
+    return s.select("task_name", "n", F.round("accuracy", 6).alias("accuracy"), "prior_correction_applied_doc_count", "boundary_gate_applied_doc_count", "carry_on_boundary_count", "nfe", F.round("carry_rate", 6).alias("carry_rate"))
+
+
 def part_code(spark, sf: str) -> DataFrame:
     """A short function for every part, with a task of the part's name."""
     none = lambda kind: F.lit(None).cast(kind)
@@ -98,7 +112,7 @@ def q78_labelled_code(spark, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (q75_gate_rows, q76_correction_rows, q77_oracle_documents, q78_labelled_code, q90_math_documents)}
+QUERIES = {f.__name__: f for f in (q75_gate_rows, q76_correction_rows, q77_oracle_documents, q78_labelled_code, q90_math_documents, q91_evaluation_summary)}
 _LINES = """
 WITH l AS (SELECT CAST(l_orderkey AS VARCHAR) AS sample_id, CAST(l_quantity AS INT) AS q, CAST(l_extendedprice AS DOUBLE) AS p,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_extendedprice) - 1 AS INT) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"""
@@ -131,4 +145,8 @@ x AS (SELECT string_agg('Problem: ' || q || chr(10) || 'Answer: ' || a, chr(10)
 o AS (SELECT *, row_number() OVER (PARTITION BY s, l ORDER BY k) AS turn, min(k) OVER (PARTITION BY s, l) AS seen FROM r WHERE k % 2 = 1),
 p AS (SELECT *, row_number() OVER (ORDER BY turn, seen, k) - 1 AS i FROM o QUALIFY i < {TASKS})
 SELECT coalesce(u, 'math/test/' || i) AS sample_id, s AS subject, l AS level, md5(x || chr(10) || chr(10) || 'Problem: ' || q || chr(10) || 'Answer:') AS prompt, 2 AS n_blocks FROM p, x""",
+    "q91_evaluation_summary": """
+SELECT 'math' AS task_name, count(*) AS n, round(avg(CASE WHEN k % 5 <> 0 AND k % 3 <> 0 THEN 1.0 ELSE 0 END), 6) AS accuracy, count(*) FILTER (k % 4 = 0) AS prior_correction_applied_doc_count,
+  count(*) FILTER (k % 7 <> 0) AS boundary_gate_applied_doc_count, count(*) FILTER (k % 7 <> 0 AND k % 2 = 0) AS carry_on_boundary_count, CAST(sum(3 + k % 4) AS BIGINT) AS nfe,
+  round(count(*) FILTER (k % 7 <> 0 AND k % 2 = 0) / CAST(count(*) AS DOUBLE), 6) AS carry_rate FROM (SELECT p_partkey AS k FROM part)""",
 }

@@ -64,3 +64,24 @@ def test_small_record_functions(spark):
     assert [x[0] for x in df.orderBy("i").select(R.as_json(["i", "d"])).collect()] == ['{"i":1,"d":null}', '{"i":2,"d":0.5}']
     tokens = lambda s: {"\n": [], " ": [3], "##": [1, 2]}.get(s, [])
     assert df.select(R.separator_tokens(tokens, "##"), R.separator_tokens(tokens), R.separator_tokens(lambda _: [])).first() == ([1, 2], [3], [])
+
+
+def test_records_of_an_evaluation(spark):
+    schema = "sample_id string, source_dataset string, gold_solution string, prediction string, oracle_block_sizes array<int>, has_final_answer_anchor boolean, segments array<string>, block_history array<int>, nfe_history array<int>, predicted_deltas map<int,int>, carry_mask array<int>, question string, problem string, subject string, level string"
+    rows = [
+        ("a", "gsm8k", "#### 4", "It is 4.", [3, 5, 9], True, ["x", "y", "z"], [4, 4], [2, 3], {0: 1, 1: -2}, [1, 0, 1], "q", "p", "s", None),
+        ("b", "gsm8k", "#### 4", None, None, None, None, None, None, None, None, None, None, None, None), ("c", "gsm8k", None, "\\boxed{\\frac{1}{2}}", [7], False, ["x"], [7], [1], None, [0], "q", "p", None, "1"),
+    ]
+    docs = spark.createDataFrame(rows, schema)
+    got = {r.sample_id: r for r in E.evaluated(docs, "gsm8k", 10).collect()}
+    a, b, c = got["a"], got["b"], got["c"]
+    assert (a.is_correct, a.oracle_block_count, a.generation_length, a.segment_count, a.predicted_delta_count, a.carry_on_boundary_count, a.carry_rate, a.question) == (True, 3, 10, 3, 2, 2, 1.0, "q")
+    assert (b.is_correct, b.oracle_block_sizes, b.generation_length, b.segment_count, b.prior_correction_applied, b.boundary_gate_applied, b.carry_rate, b.question) == (False, [], 10, 0, False, False, 0.0, "")
+    assert (c.is_correct, c.carry_rate, c.prior_correction_applied, c.boundary_gate_applied) == (False, 0.0, False, True)
+    maths = {r.sample_id: r for r in E.evaluated(docs.where("sample_id = 'c'").withColumn("gold_solution", F.lit("So $1/2$")), "math").collect()}
+    assert maths["c"].is_correct and (maths["c"].subject, maths["c"].level) == ("", "1")
+    (s,) = E.evaluation_summary(E.evaluated(docs, "gsm8k")).collect()
+    assert (s.n, round(s.accuracy, 6), s.carry_on_boundary_count, s.carry_rate, s.nfe, s.boundary_gate_applied_doc_count) == (3, 0.333333, 2, 1.0, 6, 2)
+    assert E.evaluation_summary(E.evaluated(docs.limit(0), "math")).collect() == []
+    m = spark.range(1).select(E.training_metadata({"max_length": F.lit(5)}, {"global_step": F.lit(7)}).alias("m")).first().m
+    assert (m.max_length, m.global_step, m.label_semantics) == (5, 7, "boundary_after_token")
