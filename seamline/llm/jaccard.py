@@ -293,16 +293,44 @@ def _prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / F.lit(100)) + 1
 
 
+def _forests(batches):
+    """Edges ``a``, ``b`` of a task, a block at a time → an edge from each node to the least that the block's edges lead to."""
+
+    def forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        nodes, place = np.unique(np.concatenate([table["a"].to_numpy(), table["b"].to_numpy()]), return_inverse=True)
+        root, x, y = np.arange(len(nodes)), place[: len(table)], place[len(table) :]
+        while (root[x] != root[y]).any():
+            np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+            while (root != root[root]).any():
+                root = root[root]
+        lower = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[lower]), pa.array(nodes[root[lower]])], names=["a", "b"])
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= ROWS_PER_PART:
+            yield forest(held)
+            held, rows = [], 0
+    if held:
+        yield forest(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``a``, ``b`` → ``node``, ``root`` (the least node reachable), by alternating large and small stars.
+    """``a``, ``b`` → ``node``, ``root`` (the least node reachable), for nodes that are no root.
 
-    Nodes with more edges than a part holds are spread over tasks.
+    Each task first replaces its edges by stars. Where there are more edges than a part holds, large and small stars
+    alternate across tasks; nodes with more edges than a part holds are spread over tasks.
     """
     mark = None
     e = durable(edges.select("a", "b").where("a <> b").distinct())
     n = e.count()
     while True:
-        e = e.coalesce(-(-n // ROWS_PER_PART) or 1)
+        e = durable(e.coalesce(-(-n // ROWS_PER_PART) or 1).mapInArrow(_forests, "a bigint, b bigint"))
+        if n <= ROWS_PER_PART:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = salted_join(both, least, "a", F.col("b"), 2 * n, hot_rows=ROWS_PER_PART)
@@ -448,7 +476,7 @@ def jaccard_components(df: DataFrame, key: str, text: str, words: int = 5, perce
 
     rooted = open_.join(roots, "node", "left").select("member", "check", "one", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("one").alias("component_id"))
-    rooted = salted_join(rooted, least, "root", F.col("member"), open_.count()).select("member", "check", "component_id")
+    rooted = durable(salted_join(rooted, least, "root", F.col("member"), open_.count()).select("member", "check", "component_id"))
     copied = members.where("copies > 1 and not several").select("member", "check", F.col("one").alias("component_id"))
     copied = copied.unionByName(twins.select("member", "check", F.col("one").alias("component_id")))
     ids = rooted.unionByName(copied.join(rooted.select("member", "check"), ["member", "check"], "left_anti"))
