@@ -51,7 +51,9 @@ MEMBERS_PER_BLOCK = 1_000
 SKETCH_BITS = 512
 #: Times that the members of a prefix n-gram are compared with one of them, drawn anew.
 STAR_ROUNDS = 2
-#: Edges in a part of a graph that is walked again and again; small parts cost a file for every other part.
+#: Edges a worker merges at a time; a graph is walked again and again only where it has more.
+BLOCK_EDGES = 1_000_000
+#: Edges of one node that a task takes as they come.
 ROWS_PER_PART = 50_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -311,7 +313,7 @@ def _forests(batches):
     for batch in batches:
         held.append(batch)
         rows += len(batch)
-        if rows >= ROWS_PER_PART:
+        if rows >= BLOCK_EDGES:
             yield forest(held)
             held, rows = [], 0
     if held:
@@ -321,20 +323,20 @@ def _forests(batches):
 def components(edges: DataFrame) -> DataFrame:
     """``a``, ``b`` → ``node``, ``root`` (the least node reachable), for nodes that are no root.
 
-    Each task first replaces its edges by stars. Where there are more edges than a part holds, large and small stars
-    alternate across tasks; nodes with more edges than a part holds are spread over tasks.
+    Each task first replaces its edges by stars, a block at a time. Where there are more edges than a block holds, large and
+    small stars alternate across tasks; nodes with more than ``ROWS_PER_PART`` edges are spread over tasks.
     """
     mark = None
     e = durable(edges.select("a", "b").where("a <> b").distinct())
     n = e.count()
     while True:
-        e = durable(e.coalesce(-(-n // ROWS_PER_PART) or 1).mapInArrow(_forests, "a bigint, b bigint"))
-        if n <= ROWS_PER_PART:
+        e = durable(e.coalesce(-(-n // BLOCK_EDGES) or 1).mapInArrow(_forests, "a bigint, b bigint"))
+        if n <= BLOCK_EDGES:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = salted_join(both, least, "a", F.col("b"), 2 * n, hot_rows=ROWS_PER_PART)
-        large = large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = durable(large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = salted_join(large, least, "a", F.col("b"), 2 * n, hot_rows=ROWS_PER_PART)
         small = small.select("a", F.col("m").alias("b")).unionByName(

@@ -1,7 +1,9 @@
-"""Components of graphs: within one part, across parts, and in few jobs."""
+"""Components of graphs: within one block, across blocks, and in few jobs."""
 
 import random
 
+import pytest
+
 from seamline.llm import jaccard
 
 
@@ -34,19 +36,22 @@ def found(spark, edges):
     return {r.node: r.root for r in rows}
 
 
-def test_components_of_one_part_take_few_jobs(spark):
+@pytest.mark.parametrize("edges_per_task", [50_000, 40])
+def test_components_of_one_block_take_few_jobs(spark, monkeypatch, edges_per_task):
     """A long path took a round of a dozen jobs for each doubling; plans, exchanges and threads of them all stay with the driver."""
+    monkeypatch.setattr(jaccard, "ROWS_PER_PART", edges_per_task)
     edges = graph(1)
-    spark.sparkContext.setJobGroup("components", "")
+    spark.sparkContext.setJobGroup(f"components {edges_per_task}", "")
     got = found(spark, edges)
-    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {edges_per_task}"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == plain(edges)
     assert 0 < jobs <= 12
 
 
-def test_components_across_parts(spark, monkeypatch):
+def test_components_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "ROWS_PER_PART", 40)
+    monkeypatch.setattr(jaccard, "BLOCK_EDGES", 40)
     edges = graph(2)
     assert found(spark, edges) == plain(edges)
 
